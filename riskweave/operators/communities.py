@@ -55,13 +55,13 @@ def _moves(sym: DataFrame, passes: int) -> DataFrame:
                                        (turn & (F.col("b.c") != F.col("c0"))).alias("moved")))
         moved, n = part.agg(F.count_if("moved"), F.count(F.lit(1))).first()
         part = part.drop("moved")
-        quiet = quiet + 1 if moved <= n // 200 else 0
-        if quiet >= 2:
+        quiet = quiet + 1 if moved <= n // 50 else 0
+        if quiet >= 2 or moved == 0 and p > 0:
             break
     return part.select("u", "c")
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 3, passes: int = 10) -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 4, passes: int = 6) -> DataFrame:
     """GRA15: ``(wallet, community)``, deterministic; a community is named after its smallest member."""
     sym = cut_lineage(undirected(edges))
     base = nodes.select(F.col("wallet").alias("u")).distinct()
@@ -85,7 +85,7 @@ def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 3, passes: int = 1
     return best.join(names, "c").select(F.col("u").alias("wallet"), "community")
 
 
-def leiden(edges: DataFrame, nodes: DataFrame, levels: int = 3, passes: int = 10) -> DataFrame:
+def leiden(edges: DataFrame, nodes: DataFrame, levels: int = 4, passes: int = 6) -> DataFrame:
     """GRA16: the same communities, each split into its connected parts."""
     part = cut_lineage(louvain(edges, nodes, levels, passes))
     s = part.select(F.col("wallet").alias("src"), F.col("community").alias("cs"))

@@ -41,7 +41,8 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 def transaction_graph(tx: DataFrame, links: DataFrame, order: str = "ord") -> dict[str, DataFrame]:
     """AGG3: graph over transaction ids; self links stay, a repeated link keeps its last attributes."""
-    edges = links.groupBy("src", "dst").agg(*[F.max_by(c, order).alias(c) for c in links.columns if c not in ("src", "dst", order)])
+    attrs = [c for c in links.columns if c not in ("src", "dst", order)]
+    edges = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_links"), *[F.max_by(c, order).alias(c) for c in attrs])
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     last = tx.groupBy(F.col("transaction_id").alias("id")).agg(
         F.max_by("amount", "ord").alias("amount"), F.max_by("label", "ord").alias("label")

@@ -40,24 +40,43 @@ def peel_edges(edges: DataFrame, hot_rows: int | None = None) -> DataFrame:
     )
 
 
+PROFILE_COLUMNS = [
+    "tx_count", "total_in", "total_out", "balance", "avg_amount", "n_below_10000", "n_below_3000", "n_round_100",
+    "in_degree", "out_degree", "relay_pattern_score", "unique_counterparties", "suspicious_neighbor_ratio_1hop",
+    "n3", "n4", "n5", "n6", "peel_edges", "peel_drops",
+]
+
+
 def wallet_context(
-    profiles: DataFrame, structure: DataFrame, shares: DataFrame, cycles: DataFrame, peel: DataFrame,
-    as_of: Column | None = None, enrichment: DataFrame | None = None,
+    profiles: DataFrame, *parts: DataFrame | None, as_of: Column | None = None, enrichment: DataFrame | None = None
 ) -> DataFrame:
-    """All rule inputs per wallet. Every input is keyed by wallet, so these joins share one partitioning."""
-    ctx = (
-        profiles.join(structure.select("wallet", "relay_pattern_score", "unique_counterparties"), "wallet", "left")
-        .join(shares.select("wallet", "suspicious_neighbor_ratio_1hop"), "wallet", "left")
-        .join(cycles, "wallet", "left")
-        .join(peel, "wallet", "left")
-    )
-    if enrichment is not None:
-        ctx = ctx.join(enrichment, "wallet", "left")
+    """All rule inputs per wallet; inputs no part supplies count as absent.
+
+    Every part is keyed by wallet, so the joins share one partitioning.
+    """
+    ctx = profiles
+    for part in (*parts, enrichment):
+        if part is not None:
+            ctx = ctx.join(part.select(*[c for c in part.columns if c == "wallet" or c not in ctx.columns]), "wallet", "left")
     now = F.current_timestamp() if as_of is None else as_of
-    age = F.floor((F.unix_micros(now) - F.unix_micros("first_seen")) / 86_400_000_000)
-    missing = {c: F.lit(None).cast("double") for c in OPTIONAL_NUMBERS if c not in ctx.columns}
-    missing.update({c: F.lit(None).cast("boolean") for c in OPTIONAL_FLAGS if c not in ctx.columns})
-    return ctx.withColumns({"age_days": age, **missing})
+    extra = {}
+    if "first_seen" in ctx.columns:
+        extra["age_days"] = F.floor((F.unix_micros(now) - F.unix_micros("first_seen")) / 86_400_000_000).cast("double")
+    numbers = [*PROFILE_COLUMNS, *OPTIONAL_NUMBERS, "age_days"]
+    extra.update({c: F.lit(None).cast("double") for c in numbers if c not in ctx.columns and c not in extra})
+    extra.update({c: F.lit(None).cast("boolean") for c in [*OPTIONAL_FLAGS, "in_graph"] if c not in ctx.columns})
+    return ctx.withColumns(extra)
+
+
+def confidences(ctx: DataFrame, ids, book: RuleBook | None = None) -> DataFrame:
+    """Confidence of selected rules per wallet, one column ``c<id>`` each."""
+    book = book or RuleBook.standard()
+    return ctx.select("wallet", *[confidence(book, ctx, i).alias(f"c{i}") for i in ids])
+
+
+def confidence(book: RuleBook, ctx: DataFrame, rule_id: int) -> Column:
+    rule = book.logic[rule_id]
+    return F.when(applicability(book, ctx, rule_id) & rule.when, rule.confidence).otherwise(0.0).cast("double")
 
 
 def requirement_met(name: str, columns: list[str]) -> Column:
@@ -84,8 +103,7 @@ def evaluate(ctx: DataFrame, book: RuleBook | None = None) -> DataFrame:
     hits: dict[str, Column] = {}
     for i, rule in sorted(book.logic.items()):
         ok = applicability(book, ctx, i)
-        conf = F.when(ok & rule.when, rule.confidence).otherwise(0.0)
-        hits[f"_c{i}"] = conf.cast("double")
+        hits[f"_c{i}"] = confidence(book, ctx, i)
         hits[f"_t{i}"] = ok & rule.when
         hits[f"_a{i}"] = ok
     out = ctx.withColumns(hits)

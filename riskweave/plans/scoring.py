@@ -93,7 +93,8 @@ def wallet_rules(
     profiles = g.wallet_profiles(tx, graph.metrics)
     structure = g.structural_features(graph.metrics, graph.neighbours)
     ctx = wallet_context(
-        profiles, structure, shares, ego_cycles(graph.edges), peel_edges(graph.edges, settings.hot_rows), as_of, enrichment
+        profiles, structure.select("wallet", "relay_pattern_score", "unique_counterparties"), shares,
+        ego_cycles(graph.edges), peel_edges(graph.edges, settings.hot_rows), as_of=as_of, enrichment=enrichment,
     )
     return evaluate(ctx, book)
 

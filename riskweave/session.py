@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder so later steps neither recompute it nor depend on one executor."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and read it back.
+
+    Later steps neither recompute it nor depend on any one executor. Parquet keeps
+    column pruning and known sizes, and, unlike ``checkpoint()``, the plan is run
+    once and hands no growing set of inferred constraints to the next iteration.
+    """
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/riskweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +61,13 @@ def read_training_tables(spark: SparkSession, folder: str) -> dict[str, DataFram
     """
 
     def load(name: str) -> DataFrame | None:
-        parquet, csv = f"{folder}/{name}.parquet", f"{folder}/{name}.csv"
-        if _exists(spark, parquet):
-            return spark.read.parquet(parquet)
-        if _exists(spark, csv):
-            return spark.read.csv(csv, header=True, inferSchema=True)
+        readers = [lambda: spark.read.parquet(f"{folder}/{name}.parquet"), lambda: spark.read.csv(f"{folder}/{name}.csv", header=True, inferSchema=True)]
+        for read in readers:
+            try:
+                return read()
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
         return None
 
     train = load("train_features")
@@ -80,16 +82,3 @@ def read_training_tables(spark: SparkSession, folder: str) -> dict[str, DataFram
         found = load(name)
         out[name] = train if found is None else found
     return out
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """True when the path holds data, on whatever file system it names."""
-    if "://" not in path:
-        return os.path.exists(path)
-    try:
-        spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).limit(0).collect()
-        return True
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
