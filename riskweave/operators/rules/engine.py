@@ -65,7 +65,8 @@ def wallet_context(
     numbers = [*PROFILE_COLUMNS, *OPTIONAL_NUMBERS, "age_days"]
     extra.update({c: F.lit(None).cast("double") for c in numbers if c not in ctx.columns and c not in extra})
     extra.update({c: F.lit(None).cast("boolean") for c in [*OPTIONAL_FLAGS, "in_graph"] if c not in ctx.columns})
-    return ctx.withColumns(extra)
+    flags = [*OPTIONAL_FLAGS, "in_graph"]
+    return ctx.withColumns(extra).na.fill(0, [*PROFILE_COLUMNS, *OPTIONAL_NUMBERS]).na.fill(False, flags)
 
 
 def confidences(ctx: DataFrame, ids, book: RuleBook | None = None) -> DataFrame:
@@ -109,22 +110,21 @@ def evaluate(ctx: DataFrame, book: RuleBook | None = None) -> DataFrame:
     out = ctx.withColumns(hits)
     ids = range(1, book.size() + 1)
     known = [i for i in ids if i in book.logic]
-    vector = F.array(*[F.col(f"_c{i}") if i in book.logic else F.lit(0.0) for i in ids])
-    word = {i: F.when(F.col(f"_a{i}"), "applicable").otherwise("inapplicable_missing_data") for i in known}
-    status = F.array(*[word.get(i, F.lit("applicable" if i in book.info else "inapplicable_missing_data")) for i in ids])
-    fired = F.filter(
-        F.array(
-            *[
-                F.struct(
-                    (-F.col(f"_c{i}")).alias("neg"), F.lit(i).alias("id"), F.lit(book.info[i].name).alias("name"),
-                    (F.col(f"_t{i}") | (F.col(f"_c{i}") > FIRED_EPS)).alias("fired"),
-                )
-                for i in known
-            ]
-        ),
-        lambda x: x["fired"],
+    missing = "inapplicable_missing_data"
+    slots = [f"_c{i}" if i in book.logic else "0.0D" for i in ids]
+    status = [
+        f"if(_a{i}, 'applicable', '{missing}')" if i in book.logic else f"'{'applicable' if i in book.info else missing}'" for i in ids
+    ]
+    rules = [
+        f"named_struct('neg', -_c{i}, 'id', {i}, 'name', '{book.info[i].name}', 'fired', _t{i} OR _c{i} > {FIRED_EPS}D)" for i in known
+    ]
+    out = out.withColumns(
+        {
+            "heuristic_vector": F.expr(f"array({', '.join(slots)})"),
+            "applicability_vector": F.expr(f"array({', '.join(status)})"),
+            "_f": F.filter(F.expr(f"array({', '.join(rules)})"), lambda x: x["fired"]),
+        }
     )
-    out = out.withColumns({"heuristic_vector": vector, "applicability_vector": status, "_f": fired})
     out = out.withColumn("_top", F.slice(F.array_sort("_f"), 1, 5))
     first = F.try_element_at("_top", F.lit(1))
     text = F.transform(

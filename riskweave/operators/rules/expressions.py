@@ -12,12 +12,13 @@ AVOIDED_AMOUNTS = [1000, 3000, 10000, 15000, 50000]
 
 
 def _n(name: str) -> Column:
-    """A numeric context column, absent values as 0."""
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    """A numeric context column; the context has already turned absent values into 0."""
+    return F.col(name)
 
 
 def _b(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(False))
+    """A flag of the context; absent flags are already false."""
+    return F.col(name)
 
 
 def _cap(x: Column, top: float = 1.0) -> Column:

@@ -173,10 +173,10 @@ FROM walk w JOIN ed_{s} e ON e.src = w.last
 WHERE NOT w.closed AND (e.dst = w.root OR (e.dst > w.root AND NOT list_contains(w.path, e.dst) AND len(w.path) < 10))"""
 
 
-@query("gra5", sql("SELECT array_to_string(path, '>') AS path, CAST(len(path) AS BIGINT) AS length FROM walk WHERE closed", walk=cycle_walk("l")))
+@query("gra5", sql("SELECT array_to_string(path, '>') AS path, CAST(len(path) AS BIGINT) AS length FROM walk WHERE closed", walk=cycle_walk("m")))
 def gra5(spark, d):
-    """Simple cycles of up to ten wallets in the high-value graph."""
-    return simple_cycles(g.wallet_edges(large_transfers(spark, d)), 10).select(F.array_join("path", ">").alias("path"), "length")
+    """Simple cycles of up to ten wallets among transfers from 11,000."""
+    return simple_cycles(g.wallet_edges(large_transfers(spark, d, 11000.0)), 10).select(F.array_join("path", ">").alias("path"), "length")
 
 
 @query("gra5a", select(S(wallet="wallet"), I(n3="c2 + c3", n4="c2 + c3 + c4", n5="least(c2 + c3 + c4 + c5, 5)", n6="least(c2 + c3 + c4 + c5 + c6, 5)"), tail="FROM cy_a"))

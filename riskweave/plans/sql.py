@@ -69,9 +69,10 @@ SELECT concat('tx_', event_id) AS transaction_id,
   event_id AS ord
 FROM events CROSS JOIN (SELECT count(DISTINCT user_id) AS n FROM events) u""")
 block("tx_l", "SELECT * FROM tx_a WHERE amount >= 15000")
+block("tx_m", "SELECT * FROM tx_a WHERE amount >= 11000")
 block("tx_w", "SELECT * FROM tx_a WHERE timestamp >= (SELECT max(timestamp) FROM tx_a) - INTERVAL 24 HOUR")
 
-for s in ("a", "l", "w"):
+for s in ("a", "l", "w", "m"):
     block(f"ed_{s}", f"""
 SELECT sender_wallet AS src, receiver_wallet AS dst, sum(amount) AS amount, max(timestamp) AS timestamp,
   count(*) AS n_tx, arg_max(transaction_id, ord) AS transaction_id, arg_max(asset_type, ord) AS asset_type
