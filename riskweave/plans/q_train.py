@@ -1 +1,237 @@
+"""Queries over training tables, lenses and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import Settings
+from ..operators import lenses as ln
+from ..operators import training as tr
+from ..operators.fusion import META_COLUMNS
+from ..operators.tx_features import send_history
+from ..session import cut_lineage
+from ..sources.adapter import transfers
+from ..streaming import jobs
+from .catalog import query
+from .q_clean import scratch
+from .q_windows import GAPS
+from .scoring import build_graph
+from .sql import D, I, S, select, sql
+from .training import train_all, training_data
+
+ROUNDS = 8  # boosting rounds of the registered queries; the library default is 300
+
+
+def labelled(spark, d):
+    return transfers(spark, d).where(F.col("label").isNotNull()).withColumn("y", tr.binary_label(F.col("label")))
+
+
+Y = "(SELECT *, CASE WHEN label = 'illicit' THEN 1 ELSE 0 END AS y FROM tx_a WHERE label IS NOT NULL)"
+
+
+@query("trn2", select(S(transaction_id="transaction_id", split="CASE WHEN (r - 1) / n < 0.7 THEN 'train' WHEN (r - 1) / n < 0.85 THEN 'val' ELSE 'test' END"), tail=f"""
+FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY ord * 7919 % 10007, transaction_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM {Y})"""))
+def trn2(spark, d):
+    """Stratified 70/15/15 split in an arithmetic shuffle order."""
+    parts = {"train": 0.7, "val": 0.15, "test": 0.15}
+    return tr.stratified_split(labelled(spark, d), "y", "transaction_id", parts, shuffle=F.col("ord") * 7919 % 10007).select("transaction_id", "split")
+
+
+@query("trn3", select(S(transaction_id="transaction_id", split="CASE WHEN (r - 1) / n < 0.6 THEN 'train' WHEN (r - 1) / n < 0.8 THEN 'val' ELSE 'test' END"),
+                      tail="FROM (SELECT *, row_number() OVER (ORDER BY timestamp, ord) AS r, count(*) OVER () AS n FROM tx_a)"))
+def trn3(spark, d):
+    return tr.time_split(transfers(spark, d), ["timestamp", "ord"], {"train": 0.6, "val": 0.2, "test": 0.2}).select("transaction_id", "split")
+
+
+@query("trn4", select(I(n_pos="sum(y)", n_neg="sum(1 - y)"), D(scale_pos_weight="sum(1 - y) / greatest(sum(y), 1)"), tail=f"FROM {Y}"))
+def trn4(spark, d):
+    return tr.class_weight(labelled(spark, d), "y")
+
+
+@query("trn4_copies", sql(f"""SELECT CAST(y AS BIGINT) AS y, CAST(count(*) * CASE WHEN y = 1 THEN 1 + greatest((SELECT count(*) FROM {Y} WHERE y = 0) // (SELECT count(*) FROM {Y} WHERE y = 1) - 1, 1) ELSE 1 END AS BIGINT) AS n
+FROM {Y} GROUP BY y"""))
+def trn4_copies(spark, d):
+    """Row counts per class after oversampling."""
+    return tr.oversample(labelled(spark, d), "y").groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("trn5", select(S(transaction_id="transaction_id"), D(n_lenses_available="(ord % 2 <> 0)::INT + (ord % 3 <> 0)::INT", graph_score="ord % 3 / 10.0"), tail="FROM tx_a"))
+def trn5(spark, d):
+    """Number of lenses that gave a score."""
+    t = transfers(spark, d)
+    from ..config import LENS_SCORES
+
+    s = t.select("transaction_id", *[(F.col("ord") % 2 / 10.0 if c == "entity_score" else F.col("ord") % 3 / 10.0 if c == "graph_score" else F.lit(0.0)).alias(c) for c in LENS_SCORES])
+    return tr.scored_training_rows(t.select("transaction_id"), s).select("transaction_id", "n_lenses_available", "graph_score")
+
+
+@query("trn6", select(S(transaction_id="transaction_id"), D(behavioral_score="amount", heuristic_mean="0", n_lenses_available="0", graph_score="0"), tail="FROM tx_a"))
+def trn6(spark, d):
+    """Meta table from a source with one good and one non-numeric column."""
+    t = transfers(spark, d).select("transaction_id", F.col("amount").alias("behavioral_score"), F.col("asset_type").alias("graph_score"))
+    return tr.meta_table(t, ["transaction_id"]).select("transaction_id", "behavioral_score", "heuristic_mean", "n_lenses_available", "graph_score")
+
+
+@query("len5", select(S(wallet="wallet"), I(n="least(count(*), 50)"), D(total="sum(CASE WHEN r <= 50 THEN amount + coalesce(gap, 0) / 1e6 + is_sender ELSE 0 END)", last_amount="arg_min(amount, r)"), tail=f"""
+FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY timestamp DESC, ord DESC) AS r FROM (
+  SELECT sender_wallet AS wallet, timestamp, ord, amount, gap, 1 AS is_sender FROM {GAPS}
+  UNION ALL SELECT receiver_wallet, timestamp, ord, amount, gap, 0 FROM {GAPS} WHERE sender_wallet <> receiver_wallet)) GROUP BY 1"""))
+def len5(spark, d):
+    """Padded sequences: length, sum and last amount of every wallet's vector."""
+    t = send_history(transfers(spark, d)).withColumn("burstiness_score", F.lit(0.0))
+    s = ln.sequences(t, 50)
+    n = F.size(F.filter(F.sequence(F.lit(0), F.lit(49)), lambda i: F.aggregate(F.slice("sequence", i * 4 + 1, 3), F.lit(0.0), lambda a, x: a + F.abs(x)) != 0))
+    total = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x)
+    return s.select("wallet", n.alias("n"), total.alias("total"), F.col("sequence")[196].alias("last_amount"))
+
+
+PROP = """SELECT n.wallet, avg({c}) AS {c} FROM (SELECT wallet, nb FROM nb_a UNION SELECT wallet, wallet FROM nd_a) n JOIN {t} m ON m.wallet = n.nb GROUP BY 1"""
+
+
+@query("len3", select(S(wallet="wallet"), D(in_degree="in_degree"), tail="FROM prop_two", prop_one=PROP.format(c="in_degree", t="nm_a"), prop_two=PROP.format(c="in_degree", t="prop_one")))
+def len3(spark, d):
+    """Two rounds of neighbour averaging."""
+    gr = build_graph(transfers(spark, d))
+    return ln.propagated_features(gr.edges, gr.metrics, ["in_degree"])
+
+
+@query("len1")
+def len1(spark, d):
+    """Behavioural scores of the labelled transfers."""
+    data = _features(spark, d)
+    m = ln.fit_lens(data, ln.BEHAVIOURAL_FEATURES, ROUNDS, 6, scale=True)
+    return ln.apply_lens(m, data, ln.BEHAVIOURAL_FEATURES, ["transaction_id", "label"], "behavioral_score")
+
+
+@query("len1_none", select(S(transaction_id="transaction_id"), D(behavioral_score="0"), tail="FROM tx_a"))
+def len1_none(spark, d):
+    """Without a model every score is 0."""
+    return ln.apply_lens(None, transfers(spark, d), ln.BEHAVIOURAL_FEATURES, ["transaction_id"], "behavioral_score")
+
+
+@query("len2")
+def len2(spark, d):
+    """Reconstruction error relative to the licit 99th percentile."""
+    data = _features(spark, d)
+    model, limit = ln.fit_anomaly(data, ln.BEHAVIOURAL_FEATURES)
+    return ln.anomaly_scores(model, limit, data, ln.BEHAVIOURAL_FEATURES, "transaction_id")
+
+
+@query("len6")
+def len6(spark, d):
+    """Off-ramp scores from structural features."""
+    data = _features(spark, d)
+    m = ln.fit_lens(data, ln.OFFRAMP_FEATURES, ROUNDS, 6)
+    return ln.apply_lens(m, data, ln.OFFRAMP_FEATURES, ["transaction_id", "label"], "offramp_score")
+
+
+def _features(spark, d):
+    """Transfer features with the sender's local graph metrics, labelled rows only."""
+    from ..operators.graph import structural_features
+    from ..operators.tx_features import transaction_features
+
+    t = transfers(spark, d)
+    gr = build_graph(t)
+    s = structural_features(gr.metrics, gr.neighbours).withColumnRenamed("wallet", "sender_wallet")
+    f = transaction_features(t).join(s, "sender_wallet", "left").withColumn("label", tr.binary_label(F.col("label")))
+    return cut_lineage(f.where(F.col("label").isNotNull()))
+
+
+@query("len7")
+def len7(spark, d):
+    """Logistic baseline on node metrics."""
+    gr = build_graph(transfers(spark, d))
+    names = ["in_degree", "out_degree", "weighted_in", "weighted_out"]
+    m = ln.fit_node_lens(gr.metrics, tr.wallet_labels(transfers(spark, d)), names)
+    return ln.score_nodes(m, gr.metrics)
+
+
+@query("trn1")
+def trn1(spark, d):
+    """The full training feature table."""
+    t = transfers(spark, d)
+    rows = training_data(t, as_of=t.agg(F.max("timestamp")).scalar()).rows
+    return rows.where(F.col("label").isNotNull()).select("transaction_id", "label", *ln.BEHAVIOURAL_FEATURES, "heuristic_mean", "heuristic_max")
+
+
+@query("trn7")
+def trn7(spark, d):
+    """The full training order: calibrated scores per labelled transfer."""
+    t = transfers(spark, d)
+    return train_all(t, Settings(), ROUNDS, as_of=t.agg(F.max("timestamp")).scalar()).calibrated
+
+
+@query("met3")
+def met3(spark, d):
+    """Meta model and calibration on lens-like features."""
+    data = tr.stratified_split(_features(spark, d), "label", "transaction_id", {"train": 0.7, "calibrate": 0.3})
+    names = ["amount_deviation", "log_amount", "fee_ratio", "burstiness_score"]
+    m = ln.fit_meta(data.where(F.col("split") == "train"), data.where(F.col("split") == "calibrate"), names, ROUNDS)
+    return ln.apply_meta(m, data, names, ["transaction_id", "label"])
+
+
+@query("top6")
+def top6(spark, d):
+    """Largest feature importances of the behavioural lens."""
+    m = ln.fit_lens(_features(spark, d), ln.BEHAVIOURAL_FEATURES, ROUNDS, 4)
+    return ln.importances(m, ln.BEHAVIOURAL_FEATURES, spark, 5)
+
+
+# ---- streams -------------------------------------------------------------------------------------------------
+
+
+def stream_source(spark, d):
+    """Transfers written as files and read as a stream."""
+    path = scratch(spark, "stream-in")
+    t = transfers(spark, d).drop("ord")
+    t.withColumn("part", F.dayofmonth("timestamp") % 4).repartition(4, "part").drop("part").write.parquet(path)
+    return spark.readStream.schema(t.schema).parquet(path)
+
+
+def drained(spark, stream, name: str):
+    """Run a stream over everything available and read the result back."""
+    out = scratch(spark, name)
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("str1", sql("SELECT count(*) AS n, count(DISTINCT transaction_id) AS ids FROM tx_a"))
+def str1(spark, d):
+    """Stream of doubled transfers, cleaned and deduplicated by id."""
+    s = stream_source(spark, d)
+    twice = s.withColumn("_c", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_c")
+    # the files are not in time order, so the delay spans the whole month
+    out = drained(spark, jobs.clean_stream(twice, "40 days"), "str1")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("transaction_id").alias("ids"))
+
+
+@query("str2", sql("""SELECT wallet, epoch_us(w) AS window_start, CAST(count(*) AS BIGINT) AS n_tx, CAST(count(*) FILTER (amount > 0 AND amount < 10000) AS BIGINT) AS n_below, round(sum(amount), 6) + 0.0 AS volume
+FROM (SELECT wallet, amount, unnest(range(24)) AS k, date_trunc('hour', timestamp) - to_hours(k) AS w FROM ro_a) GROUP BY 1, 2"""))
+def str2(spark, d):
+    """Sliding 24-hour activity per wallet; all windows, also unfinished ones."""
+    s = jobs.velocity_stream(stream_source(spark, d), "40 days")
+    out = scratch(spark, "str2")
+    q = jobs.latest_result(s, out, scratch(spark, "str2-state"))
+    q.awaitTermination()
+    return spark.read.parquet(out).select("wallet", F.col("window.start").alias("window_start"), "n_tx", "n_below", "volume")
+
+
+@query("str3", sql("SELECT transaction_id, 'low' AS risk_level, CAST(fired AS BIGINT) AS rules_fired FROM (SELECT t.transaction_id, coalesce(r.fired, 0) AS fired, r.top_conf FROM tx_a t LEFT JOIN rs_a r ON r.wallet = t.sender_wallet) WHERE fired > 0 AND top_conf >= 0.15"))
+def str3(spark, d):
+    """Micro-batches scored against stored wallet rules; suspicious rows are appended."""
+    from .q_rules import rules_per_wallet
+
+    rules = cut_lineage(rules_per_wallet(spark, d))
+    out, state = scratch(spark, "str3"), scratch(spark, "str3-state")
+    q = jobs.score_stream(stream_source(spark, d), rules, out, state)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("transaction_id", "risk_level", F.col("heuristic_triggered_count").alias("rules_fired"))
+
+
+@query("meta_columns", sql(f"SELECT count(*) AS n, CAST({len(META_COLUMNS)} AS BIGINT) AS columns FROM tx_a"))
+def meta_columns(spark, d):
+    t = tr.meta_table(transfers(spark, d), [])
+    return t.agg(F.count(F.lit(1)).alias("n"), F.lit(len(t.columns)).alias("columns"))
+
 
