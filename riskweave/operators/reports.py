@@ -13,7 +13,7 @@ SUMMARY_LINE = "%d txs scored; %d suspicious; %d clusters; threshold ≈ %.4f."
 BANDS_LINE = "Risk bands: %s—focus on non-bulk bands first."
 REVIEW_LINE = "Review first (by score): %s (top ≈ %.4f, %s)."
 NO_REVIEW_LINE = "Sort suspicious list by meta-score to pick review order."
-THEMES_LINE = "Cluster themes: %s—trace wallets in Flow Explorer."
+THEMES_LINE = "Cluster themes: %s—trace wallets in the cluster graphs."
 OPEN_LINE = "Open each cluster graph to see wallet links."
 NO_CLUSTERS_LINE = "No clusters in this run; rely on per-tx scores."
 

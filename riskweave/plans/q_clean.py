@@ -134,7 +134,7 @@ def src2(spark, d):
     return src.union_in_order(parts).groupBy("file_no").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
 
 
-def elliptic_frames(spark, d):
+def labelled_frames(spark, d):
     """Feature, class and edge files in the three-file layout, derived from embeddings and transfers."""
     e = table(spark, d, "embeddings")
     feats = e.select(F.col("vec_id").cast("string"), (F.col("vec_id") % 49 + 1).cast("string"), *[F.col("embedding")[i].cast("string") for i in range(16)])
@@ -153,7 +153,7 @@ SELECT CAST(vec_id AS VARCHAR) AS node_id, CAST(vec_id % 49 + 1 AS BIGINT) AS ti
 def src3(spark, d):
     """Three-file labelled graph written as CSV and read back."""
     base = scratch(spark, "labelled")
-    feats, cls, edges = elliptic_frames(spark, d)
+    feats, cls, edges = labelled_frames(spark, d)
     feats.write.csv(f"{base}/f", header=False)
     cls.write.csv(f"{base}/c", header=True)
     edges.write.csv(f"{base}/e", header=True)
