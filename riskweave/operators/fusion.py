@@ -11,7 +11,6 @@ from ..config import DEFAULTS, FUSION_WEIGHTS, LENS_SCORES, Settings, Thresholds
 from ..functions.risk import coverage_tier, level_from_score
 from ..functions.scalars import clip01
 from .ordered import ordered_scan
-from .rules.engine import rule_aggregates
 
 # Column order of the meta feature table.
 META_COLUMNS = [
@@ -38,14 +37,11 @@ def weighted_score(columns: dict[str, Column] | None = None) -> Column:
 
 
 def meta_stack(rows: DataFrame, has_tags: bool = False, has_links: bool = False, n_lenses: int = 0) -> DataFrame:
-    """MET1: the seventeen meta columns next to the lens scores and rule results of ``rows``."""
-    agg = rule_aggregates(F.col("heuristic_vector"), F.col("heuristic_top_confidence"))
+    """MET1: the seventeen meta columns: lens scores and rule aggregates of ``rows`` plus coverage."""
     tier = coverage_tier(F.lit(True), F.lit(has_tags), F.lit(has_links))
-    out = rows.withColumns(
+    rules = ["heuristic_mean", "heuristic_max", "heuristic_triggered_ratio", "heuristic_triggered_count"]
+    out = rows.na.fill(0, rules).withColumns(
         {
-            "heuristic_mean": agg["heuristic_mean"],
-            "heuristic_max": agg["heuristic_max"],
-            "heuristic_triggered_ratio": agg["heuristic_triggered_ratio"],
             "has_entity_intel": F.lit(float(has_links)),
             "has_address_tags": F.lit(float(has_tags)),
             "coverage_tier": tier,

@@ -16,7 +16,7 @@ from ..operators.components import connected_components
 from ..operators.cycles import clustering, ego_cycles
 from ..operators.fusion import meta_stack, score_rows
 from ..operators.pagerank import pagerank
-from ..operators.rules.engine import evaluate, peel_edges, wallet_context
+from ..operators.rules.engine import evaluate, peel_edges, rule_aggregates, wallet_context
 from ..operators.rules.registry import RuleBook
 from ..operators.selection import suspicious, touched_wallets
 from ..operators.tx_features import transaction_features
@@ -99,15 +99,29 @@ def wallet_rules(
     return evaluate(ctx, book)
 
 
+# rule results that stay at wallet level unless asked for
+WALLET_LEVEL = ["heuristic_vector", "applicability_vector", "heuristic_explanations", "top_rules"]
+
+
+def with_rule_aggregates(rules: DataFrame) -> DataFrame:
+    """RUL-A per wallet, before the join to transfers."""
+    agg = rule_aggregates(F.col("heuristic_vector"), F.col("heuristic_top_confidence"))
+    return rules.withColumns({c: agg[c] for c in ("heuristic_mean", "heuristic_max", "heuristic_triggered_ratio")})
+
+
 def score_transfers(
     tx: DataFrame, rules: DataFrame, lens: DataFrame | None = None, entity: DataFrame | None = None,
-    settings: Settings = DEFAULTS, has_tags: bool = False, has_links: bool = False, n_lenses: int = 0,
+    settings: Settings = DEFAULTS, has_tags: bool = False, has_links: bool = False, n_lenses: int = 0, vectors: bool = False,
 ) -> DataFrame:
     """Score rows per transfer: sender rules, lens scores (0 where no model is given), fusion and tier.
 
-    ``lens`` holds scores by transaction_id, ``entity`` holds entity_score by wallet.
+    ``lens`` holds scores by transaction_id, ``entity`` holds entity_score by wallet. The 185-slot vectors stay
+    in the wallet-level rule table, since copying them to every transfer would multiply the output; only their
+    aggregates are joined. ``vectors=True`` attaches them.
     """
-    per = rules.withColumnRenamed("wallet", "sender_wallet")
+    per = with_rule_aggregates(rules).withColumnRenamed("wallet", "sender_wallet")
+    if not vectors:
+        per = per.drop(*WALLET_LEVEL)
     rows = tx.join(per, "sender_wallet", "left")
     if entity is not None:
         rows = rows.join(entity.select(F.col("wallet").alias("sender_wallet"), "entity_score"), "sender_wallet", "left")
