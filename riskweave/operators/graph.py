@@ -167,17 +167,16 @@ def relay_maximum(metrics: DataFrame) -> Column:
 
 
 def risky_nodes(pagerank: DataFrame, threshold: float = DEFAULTS.risky_pagerank) -> DataFrame:
-    """Nodes above the PageRank threshold. Ranks sum to 1, so there are fewer than ``1/threshold`` of them."""
-    return pagerank.where(F.col("pagerank") > threshold).select(F.col("wallet").alias("risky"))
+    """Nodes above the PageRank threshold. Ranks sum to 1, so fewer than ``1/threshold`` rows are broadcast."""
+    return F.broadcast(pagerank.where(F.col("pagerank") > threshold).select(F.col("wallet").alias("risky")))
 
 
 def risky_neighbour_shares(nb: DataFrame, risky: DataFrame) -> DataFrame:
     """AGG9 + AGG10: share of risky wallets among 1-hop and 2-hop neighbours.
 
-    The numerators only walk outward from the few risky wallets. The 2-hop
+    The numerators only walk outward from the risky wallets. The 2-hop
     denominator is the number of distinct wallets two steps away.
     """
-    risky = F.broadcast(risky)
     one = nb.groupBy("wallet").agg(F.count(F.lit(1)).alias("n1"))
     hit1 = nb.join(risky, nb.nb == risky.risky).groupBy("wallet").agg(F.count(F.lit(1)).alias("k1"))
     # walk risky -> neighbour -> neighbour: the relation is symmetric

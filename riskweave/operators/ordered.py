@@ -85,9 +85,10 @@ def _pieces(df, keys, order, lag, lead, index, moments, running, hot_rows, total
             carry[f"_o{i}_{m}"] = F.coalesce(F.sum(f"_t{i}_{m}").over(earlier), F.lit(0.0))
     for r in running:
         carry[f"_or_{r}"] = F.sum(f"_tr_{r}").over(earlier)
-    piece = piece.withColumns(carry).select(*group, *carry)
+    piece = piece.withColumns(carry).select(*[F.col(k).alias(f"_g_{k}") for k in group], *carry)
 
-    joined = rows.join(piece, group)
+    match = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in group]
+    joined = rows.join(piece, match)
     out = {}
     for n_ in lag:
         out[n_] = F.when(F.col("_rn") == 1, F.col(f"_prev_{n_}")).otherwise(F.col(f"_lag_{n_}"))

@@ -47,11 +47,12 @@ def test_self_transfer_gives_empty_graph(make_tx):
 def test_ordered_scan_split_equals_plain(spark, hot):
     rng = random.Random(1)
     rows = [("hot" if i % 3 else f"k{i % 7}", i, float(rng.randrange(50))) for i in range(200)]
+    rows += [(None, 200 + i, float(i)) for i in range(9)]  # a null key is a group as well
     df = spark.createDataFrame(rows, "k string, o int, v double")
     args = dict(lag={"p": "v"}, lead={"n": "v"}, index="i", moments={"m": "v"}, running={"s": "v"})
     got = {r["o"]: r for r in ordered_scan(df, ["k"], ["o"], hot_rows=hot, **args).collect()}
-    assert len(got) == 200
-    for key, grp in itertools.groupby(sorted(rows), key=lambda r: r[0]):
+    assert len(got) == 209
+    for _, grp in itertools.groupby(sorted(rows, key=lambda r: (r[0] or "", r[1])), key=lambda r: r[0]):
         vals = list(grp)
         for j, (_, o, v) in enumerate(vals):
             r, before = got[o], [x[2] for x in vals[:j]]
