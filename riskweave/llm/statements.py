@@ -5,7 +5,7 @@ from __future__ import annotations
 MIX = r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM s GROUP BY source),
-wt AS (SELECT source, source_size, [5.0, 2.0, 1.0]::DOUBLE[][(nth % 3)::INT + 1] AS w, 3.0::DOUBLE * source_size AS most FROM per),
+wt AS (SELECT source, source_size, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], (nth % 3)::INT + 1) AS w, 3.0::DOUBLE * source_size AS most FROM per),
 lv AS (SELECT *, row_number() OVER r AS place,
   (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
   / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) AS level
