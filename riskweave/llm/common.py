@@ -25,6 +25,12 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def in_arrow(df: DataFrame, run, schema: str, rows: int = 1000) -> DataFrame:
+    """``mapInArrow`` with batches of few enough rows that long texts don't fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(run, schema)
+
+
 def replaced(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """``df`` with the given columns; input columns of those names (in any case) give way to them."""
     names = {k.lower() for k in new}

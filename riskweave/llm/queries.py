@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from ..session import prepare
-from . import mixing, sharding, statements
-from .common import table
+from . import mixing, sharding, statements, tokens, toxicity
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +31,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, d):
+    """Every document's toxicity, learned from the labels of two folds in three."""
+    docs = table(spark, d, "documents")
+    model = toxicity.train(docs, table(spark, d, "labels"), lambda i: ~held_out(i, 3))
+    got = toxicity.toxicity(docs, model)
+    return got.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 3).alias("held_out"), "score", "predicted")
+
+
 @query("op2_mix", statements.MIX)
 def op2_mix(spark, d):
     """All documents with what the mix takes of each."""
@@ -37,6 +48,18 @@ def op2_mix(spark, d):
     ).withColumnRenamed("id", "doc_id")
 
 
+def _piece_model() -> tokens.PieceCounter:
+    import public_tokenizers
+
+    return tokens.PieceCounter(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_tokens")
+def op4_tokens(spark, d):
+    """Token counts of every document."""
+    return tokens.count_tokens(table(spark, d, "documents"), _piece_model).withColumnRenamed("id", "doc_id")
+
+
 @query("op10_shard", statements.SHARD)
 def op10_shard(spark, d):
     """All documents with shard, slot, and the shard if there were one more."""
