@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import mixing, sharding, statements, tokens, toxicity
+from . import extraction, mixing, sharding, statements, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,13 @@ def op2_mix(spark, d):
     ).withColumnRenamed("id", "doc_id")
 
 
+@query("op3_extract")
+def op3_extract(spark, d):
+    """The main text of every page."""
+    pages = table(spark, d, "pages")
+    return extraction.extract(pages, extraction.train(pages)).withColumnRenamed("id", "page_id")
+
+
 def _piece_model() -> tokens.PieceCounter:
     import public_tokenizers
 
