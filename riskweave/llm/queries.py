@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import extraction, mixing, sharding, statements, tokens, toxicity
+from . import extraction, mixing, quality, sharding, statements, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,16 @@ def op4_tokens(spark, d):
     return tokens.count_tokens(table(spark, d, "documents"), _piece_model).withColumnRenamed("id", "doc_id")
 
 
+@query("op9_quality")
+def op9_quality(spark, d):
+    """Every document's evidence, site mean and posterior of good quality, learned from the labels of two folds in three."""
+    docs = table(spark, d, "documents")
+    weights = quality.train(docs, table(spark, d, "labels"), lambda i: ~held_out(i, 3))
+    got = quality.score(docs, weights)
+    id = F.col("row.doc_id")
+    return got.select(id.alias("doc_id"), held_out(id, 3).alias("held_out"), "evidence", "site", "posterior", (F.col("posterior") >= 0.5).alias("kept"))
+
+
 @query("op10_shard", statements.SHARD)
 def op10_shard(spark, d):
     """All documents with shard, slot, and the shard if there were one more."""

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, inner_names, written
+from .common import in_arrow, inner_names
+from .labelled import sample_labels, sample_texts
 from .logistic import fit, probability
 from .texts import ALNUM, maxima, slices, sums, words
 
@@ -74,20 +75,6 @@ class KneserNey:
         return np.column_stack([mean, maxima(window, first, 0.0), maxima(at, first, 0.0)])
 
 
-def sample_labels(labels: DataFrame, id: str, target: str, most: int, keep) -> DataFrame:
-    """At most ``most`` labelled ids per class, by hash of the id; conflicting labels of an id count as the larger one."""
-    one = labels.select(F.col(id).alias("lid"), F.col(target).cast("int").alias("y")).where("lid IS NOT NULL AND y IN (0, 1)")
-    one = one.where(keep(F.col("lid"))).groupBy("lid").agg(F.max("y").alias("y"))
-    order = F.xxhash64(F.col("lid").cast("string"))
-    return written(one.where("y = 1").orderBy(order, "lid").limit(most).unionAll(one.where("y = 0").orderBy(order, "lid").limit(most)))
-
-
-def sample_texts(docs: DataFrame, chosen: DataFrame, id: str, text: str, most_bytes: int) -> DataFrame:
-    """The sampled documents' texts of up to ``most_bytes``, one per id. ``chosen`` is bounded, so it is broadcast."""
-    rows = inner_names(docs, {"id": id, "t": text}).join(F.broadcast(chosen), F.col("id") == F.col("lid"))
-    return written(rows.where(F.octet_length("t") <= most_bytes).groupBy("lid").agg(F.first("t").alias("t"), F.first("y").alias("y")))
-
-
 def counted(sample: DataFrame) -> list[tuple[bytes, int, int]]:
     """(word, class, different words before it) of the sample; bounded as the sample is."""
 
