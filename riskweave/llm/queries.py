@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import extraction, mixing, quality, sharding, statements, tokens, toxicity
+from . import decontaminate, extraction, mixing, quality, sharding, statements, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,12 @@ def op4_tokens(spark, d):
     return tokens.count_tokens(table(spark, d, "documents"), _piece_model).withColumnRenamed("id", "doc_id")
 
 
+@query("op5_decontaminate", statements.DECONTAMINATE)
+def op5_decontaminate(spark, d):
+    """Every document's words in windows of benchmark items."""
+    return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 @query("op9_quality")
 def op9_quality(spark, d):
     """Every document's evidence, site mean and posterior of good quality, learned from the labels of two folds in three."""

@@ -24,3 +24,16 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, ((whole + CASE WHEN sh
 """
 
 SHARD = None
+
+DECONTAMINATE = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+  row_number() OVER () AS r FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[s:s + least(10, len(w)) - 1] AS v FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM iw WHERE len(w) > 0)),
+dg AS (SELECT r, s, w[s:s + k - 1] AS v, k FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM dw, (SELECT DISTINCT len(v) AS k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT DISTINCT dg.r, dg.s, dg.k, win.item_id FROM dg JOIN win ON dg.v = win.v),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
