@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, extraction, mixing, quality, sharding, statements, tokens, toxicity
+from . import decontaminate, extraction, mixing, neardup, quality, sharding, statements, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,13 @@ def op5_decontaminate(spark, d):
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+@query("op6_neardup")
+def op6_neardup(spark, d):
+    """Every document's component of near copies at a similarity of 0.85."""
+    got = neardup.near_duplicates(table(spark, d, "documents"), threshold=0.85)
+    return got.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 @query("op9_quality")
 def op9_quality(spark, d):
     """Every document's evidence, site mean and posterior of good quality, learned from the labels of two folds in three."""
