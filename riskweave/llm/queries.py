@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, extraction, mixing, neardup, quality, sharding, statements, tokens, toxicity
+from . import decontaminate, extraction, mixing, neardup, neighbours, quality, sharding, statements, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,12 @@ def op6_neardup(spark, d):
     return got.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+@query("op7_nearest")
+def op7_nearest(spark, d):
+    """The five nearest rows of every fiftieth vector."""
+    return neighbours.nearest(table(spark, d, "embeddings"), F.col("id") % 50 == 0)
+
+
 @query("op9_quality")
 def op9_quality(spark, d):
     """Every document's evidence, site mean and posterior of good quality, learned from the labels of two folds in three."""
