@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, extraction, mixing, neardup, neighbours, quality, sharding, statements, tokens, toxicity
+from . import decontaminate, extraction, lm, mixing, neardup, neighbours, quality, sharding, statements, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,15 @@ def op7_nearest(spark, d):
     return neighbours.nearest(table(spark, d, "embeddings"), F.col("id") % 50 == 0)
 
 
+@query("op8_lm")
+def op8_lm(spark, d):
+    """Every document's score under a model of the texts of four folds in five."""
+    docs = table(spark, d, "documents")
+    got = lm.scored(docs, ~held_out(F.col("id"), 5))
+    id = F.col("id")
+    return got.select(id.alias("doc_id"), held_out(id, 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op9_quality")
 def op9_quality(spark, d):
     """Every document's evidence, site mean and posterior of good quality, learned from the labels of two folds in three."""
