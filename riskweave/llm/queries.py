@@ -105,7 +105,7 @@ def op9_quality(spark, d):
     return got.select(id.alias("doc_id"), held_out(id, 3).alias("held_out"), "evidence", "site", "posterior", (F.col("posterior") >= 0.5).alias("kept"))
 
 
-@query("op10_shard", statements.SHARD)
+@query("op10_shard")
 def op10_shard(spark, d):
     """All documents with shard, slot, and the shard if there were one more."""
     rows = sharding.shard(table(spark, d, "documents"))

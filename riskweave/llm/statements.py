@@ -23,8 +23,6 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, ((whole + CASE WHEN sh
   (whole + CASE WHEN share > 0 AND middle <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM m
 """
 
-SHARD = None
-
 DECONTAMINATE = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
   row_number() OVER () AS r FROM documents),
