@@ -17,8 +17,8 @@ from .texts import mix, slices
 
 #: Estimates below the threshold by more than this are dropped: five standard errors of M registers.
 MARGIN = 0.15
-#: Members of a band compared in one piece of work; larger bands are cut into pairs of tiles.
-TILE = 512
+#: Members of a band, and shingles of all of them, compared in one piece of work; larger bands are cut into pairs of tiles.
+TILE, TILE_SHINGLES = 512, 4_000_000
 #: Up to so many documents (16 bytes each) are looked up by broadcasting their keys.
 LOOKUP = 1_000_000
 
@@ -56,112 +56,110 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def members(reps: DataFrame) -> DataFrame:
-    """(key, cls, k) of every band with more than one class; of bands with the same members, one."""
-    rows = reps.select("cls", F.explode("keys").alias("key"))
-    bands = rows.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sign"))
-    one = bands.where("k > 1").groupBy("k", "sign").agg(F.min("key").alias("key_"))
-    return written(rows.join(one.select("key_", "k"), F.col("key") == F.col("key_")).select("key", "cls", "k"))
+    """(key, cls, tiles) of every band with more than one class; of bands with the same members, one.
+
+    A band of many or large sets is to be cut into ``tiles``.
+    """
+    rows = reps.select("cls", "n", F.explode("keys").alias("key"))
+    bands = rows.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sign"))
+    tiles = F.greatest(F.ceil(F.col("k") / TILE), F.ceil(F.col("size") / TILE_SHINGLES)).cast("int").alias("tiles")
+    one = bands.where("k > 1").groupBy("k", "sign").agg(F.min(F.struct("key", "size")).alias("b")).select(F.col("b.key").alias("key_"), "k", F.col("b.size").alias("size"))
+    return written(rows.join(one.select("key_", tiles), F.col("key") == F.col("key_")).select("key", "cls", "tiles"))
+
+
+def full_sets(mem: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(cls, n, regs, set): the sorted shingle hashes of every class that shares a band with another."""
+    wanted = written(mem.select("cls").distinct().join(reps.select("cls", "id", "h"), "cls"))
+    keys = wanted.select("cls", F.col("id").alias("id_"), F.col("h").alias("h_"))
+    keys = F.broadcast(keys) if wanted.count() <= LOOKUP else keys
+    rows = inner_names(docs, {"id": id, "t": text}).withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
+    texts = rows.join(keys, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))).select("cls", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            first, h = ss.shingles(batch.column("t"))
+            sets = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(h.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), sets], ["cls", "set"])
+
+    sets = in_arrow(texts, run, "cls binary, set binary").groupBy("cls").agg(F.first("set").alias("set"))
+    return written(sets.join(reps.select("cls", "n", "regs"), "cls"))
 
 
-def candidates(mem: DataFrame, reps: DataFrame, threshold: float, whole: bool) -> DataFrame:
-    """Distinct (a, b) pairs of classes to be confirmed, a below b.
+def links(mem: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) pairs of classes, all confirmed on full sets, that connect what the links within each band connect.
 
-    Not ``whole``: each member of a band is paired with the member before it that its sketch
-    resembles most, members being ordered by how much they resemble all: as many pairs as members. ``whole``:
-    every pair of members from different components (column ``comp`` of ``mem``) whose estimated
-    similarity is within the margin. Bands of more than ``TILE`` members come as pairs of tiles, so a task
-    holds two tiles at a time.
+    Inside a band, pairs whose sizes and estimated similarity allow a link are confirmed in order of
+    likeness, except those that links found before already connect. So a band yields fewer links than it has
+    members, and all its pairs are settled. Large bands come as pairs of tiles; a task holds two tiles.
     """
-    tiles = F.ceil(F.col("k") / TILE).cast("int")
-    rows = mem.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    low = F.expr("transform(sequence(0, tiles - 1), o -> struct(least(tile, o) AS i, greatest(tile, o) AS j))")
-    rows = rows.select("key", "cls", "tile", *(["comp"] if whole else []), F.explode(low).alias("pair")).select("key", "pair.i", "pair.j", "cls", "tile", *(["comp"] if whole else []))
-    rows = rows.join(reps.select("cls", "n", "regs"), "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    least = threshold - MARGIN
-
-    def pick(t: pd.DataFrame) -> list[np.ndarray]:
+    rows = mem.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    pair = F.expr("transform(sequence(0, tiles - 1), o -> struct(least(tile, o) AS i, greatest(tile, o) AS j))")
+    rows = rows.select("key", "cls", "tile", F.explode(pair).alias("p")).select("key", "p.i", "p.j", "cls", "tile")
+    rows = rows.join(sets, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    least, per_cent = threshold - MARGIN, round(threshold * 100)
+
+    def settle(t: pd.DataFrame) -> list[tuple[bytes, bytes]]:
         regs = np.frombuffer(b"".join(t["regs"]), np.uint16).reshape(len(t), ss.M)
         n, tile = t["n"].to_numpy(), t["tile"].to_numpy()
-        k = len(t)
-        same = np.zeros((k, k), np.int16)
-        for j in range(ss.M):
-            same += regs[:, j][:, None] == regs[:, j][None, :]
-        if whole:
-            comp = pd.factorize(t["comp"])[0]
-            a, b = np.nonzero(np.triu((comp[:, None] != comp[None, :]) & (same >= ss.M * (least - 0.1)), 1))
-            across = tile[a] != tile[b] if (tile != tile[0]).any() else np.ones(len(a), bool)
-            a, b = a[across], b[across]
-        else:
-            np.fill_diagonal(same, -1)
-            order = np.argsort(-same.sum(1, dtype=np.int64), kind="stable")
-            s = same[np.ix_(order, order)]
-            s[np.triu_indices(k)] = -1
-            a, b = order[np.argmax(s[1:], 1)], order[1:]
-        if not len(a):
+        across = t["i"].iloc[0] != t["j"].iloc[0]
+        pairs = []
+        for x in range(len(t) - 1):
+            y = np.arange(x + 1, len(t))
+            if across:
+                y = y[tile[y] != tile[x]]
+            y = y[100 * np.minimum(n[x], n[y]) >= per_cent * np.maximum(n[x], n[y])]
+            less, more = (regs[x] < regs[y]).sum(1), (regs[x] > regs[y]).sum(1)
+            likely = less + more <= ss.M * (1 - least + 0.1)
+            y, less, more = y[likely], less[likely], more[likely]
+            if len(y):
+                near = ss.estimated(less, more, np.full(len(y), n[x]), n[y]) >= least
+                pairs.append(np.column_stack([np.full(near.sum(), x), y[near], (less + more)[near]]))
+        if not pairs:
             return []
-        less, more = (regs[a] < regs[b]).sum(1), (regs[a] > regs[b]).sum(1)
-        near = (ss.estimated(less, more, n[a], n[b]) >= least) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
-        cls = t["cls"].to_numpy()
-        return [(min(x, y), max(x, y)) for x, y in zip(cls[a[near]], cls[b[near]])]
+        pairs = np.concatenate(pairs)
+        up = list(range(len(t)))
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        full = [np.frombuffer(x, np.uint64) for x in t["set"]]
+        cls, found = t["cls"].to_numpy(), []
+        for x, y, _ in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
+            p, q = root(x), root(y)
+            if p != q:
+                a, b = (full[x], full[y]) if len(full[x]) <= len(full[y]) else (full[y], full[x])
+                common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if 100 * common >= per_cent * (len(a) + len(b) - common):
+                    up[p] = q
+                    found.append((cls[x], cls[y]))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        found: list[tuple[bytes, bytes]] = []
+        rest, found = None, []
 
         def out():
             x, y = zip(*found) if found else ((), ())
-            r = pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
             found.clear()
-            return r
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
 
         for batch in batches:
             t = batch.to_pandas()
             t = t if rest is None else pd.concat([rest, t], ignore_index=True)
-            new = (t[["key", "i", "j"]] != t[["key", "i", "j"]].shift()).any(axis=1).to_numpy()
-            cuts = np.flatnonzero(new)
+            cuts = np.flatnonzero((t[["key", "i", "j"]] != t[["key", "i", "j"]].shift()).any(axis=1).to_numpy())
             for s, e in zip(cuts[:-1], cuts[1:]):
                 if e - s > 1:
-                    found += pick(t.iloc[s:e])
-                if len(found) > 50_000:
-                    yield out()
+                    found += settle(t.iloc[s:e])
             rest = t.iloc[cuts[-1] :] if len(cuts) else t
+            if len(found) > 50_000:
+                yield out()
         if rest is not None and len(rest) > 1:
-            found += pick(rest)
+            found += settle(rest)
         yield out()
 
-    return in_arrow(rows, run, "a binary, b binary", 2000).distinct()
-
-
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, id: str, text: str) -> DataFrame:
-    """The pairs whose full sets have at least the threshold's share of their union in common."""
-    pairs = written(pairs)
-    named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = written(named.join(reps.select("cls", "id", "h"), "cls"))
-    keys = wanted.select(F.col("cls"), F.col("id").alias("id_"), F.col("h").alias("h_"))
-    keys = F.broadcast(keys) if wanted.count() <= LOOKUP else keys
-    rows = inner_names(docs, {"id": id, "t": text}).withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
-    texts = written(rows.join(keys, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))).groupBy("cls").agg(F.first("t").alias("t")))
-    first = pairs.join(texts.select(F.col("cls").alias("a"), F.col("t").alias("ta")), "a")
-    both = first.join(texts.select(F.col("cls").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
-    per_cent = round(threshold * 100)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ta"):
-            sides = []
-            for c in ("ta", "tb"):
-                d = batch.column(c).dictionary_encode()
-                f, h = ss.shingles(d.dictionary)
-                sides.append((d.indices.to_numpy(), f, h))
-            keep = np.zeros(batch.num_rows, bool)
-            (ia, fa, ha), (ib, fb, hb) = sides
-            for i, (x, y) in enumerate(zip(ia, ib)):
-                p, q = ha[fa[x] : fa[x + 1]], hb[fb[y] : fb[y + 1]]
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep[i] = 100 * common >= per_cent * (len(p) + len(q) - common)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-    return written(in_arrow(both, run, "a binary, b binary", 500))
+    return in_arrow(rows, run, "a binary, b binary", 200).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,9 +168,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_i
     Two documents are linked if their sets of five-word shingles have a Jaccard similarity
     of ``threshold`` or more; a component is named after its smallest id. Equal sets are one class from
     the start, so copies of any number cost one row each. Classes meet in bands of equal
-    registers. A first round confirms one pair per member; what then is one component
-    needs no more pairs, and a second round confirms all remaining pairs between components
-    within the margin, so no link is lost that the bands show. Texts without words are
+    registers, where every pair that may be linked is settled on full sets unless other links already
+    connect it, so no link between components is lost that the bands show. Texts without words are
     linked with nothing, not even each other. A null id is in the component of its copies, or without any,
     null and kept. Rows that share id and text share the result.
     """
@@ -181,13 +178,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_i
     reps = full.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("r"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("regs").alias("regs"))
     reps = written(reps.select("cls", "r.id", "r.h", "low", "n", "keys", "regs"))
     mem = members(reps)
-    links = confirmed(candidates(mem, reps, threshold, False), reps, docs, threshold, id, text)
-    comps = written(_components(links))
-    known = mem.join(comps.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"), "left").withColumn("comp", F.coalesce("comp", "cls")).drop("c")
-    open_ = known.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select(F.col("key").alias("key_"))
-    rest = written(known.join(open_, F.col("key") == F.col("key_"), "left_semi"))
-    more = confirmed(candidates(rest, reps, threshold, True), reps, docs, threshold, id, text)
-    comps = written(_components(links.union(more)))
+    found = links(mem, full_sets(mem, reps, docs, id, text), threshold)
+    linked = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    comps = written(linked.select(F.col("wallet").alias("cls"), F.col("component").alias("comp")))
 
     joined = reps.select("cls", "low").join(comps.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = joined.groupBy("comp").agg(F.min("low").alias("component_id"))
@@ -198,11 +191,6 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_i
     return got.withColumn("kept", F.col("component_id").eqNullSafe(F.col("id")))
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """(cls, comp) of the linked classes."""
-    return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("wallet").alias("cls"), F.col("component").alias("comp"))
-
-
 def deduplicated(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id, with its own columns."""
     got = near_duplicates(docs, threshold=threshold, id=id, text=text)

@@ -81,7 +81,7 @@ def test_near_duplicates_of_odd_tables(spark, odd, none, get):
 
 
 def test_sketches_estimate_similarity_and_merge():
-    a, b = prose(1, 900), prose(2, 900)
+    a, b = prose(1, 3000), prose(2, 700)
     first, h = setsketch.shingles(pa.array([a + " " + b, a, b, ""]))
     regs = setsketch.registers(first, h)
     assert (np.maximum(regs[1], regs[2])[np.maximum(regs[1], regs[2]) != regs[0]].size) <= 3 and not regs[3].any()
