@@ -99,6 +99,14 @@ def test_spelling_sums_to_one():
         assert np.isclose(p.sum(), 1) and p[ord("e")] > 0.3
 
 
+def test_packing_of_occurrences_round_trips():
+    r = np.random.default_rng(5)
+    posts = [np.sort(r.integers(0, 65_536, n)) for n in (1, 5, 300)] + [np.array([0]), np.array([65_535, 65_535]), np.array([127, 128, 16_384])]
+    at, data = lm.packed(np.concatenate(posts), np.array([len(p) for p in posts]))
+    doc, times = lm.unpacked(data, at)
+    assert times.tolist() == [len(p) for p in posts] and doc.tolist() == np.concatenate(posts).tolist()
+
+
 def brute_base(docs, folds=5):
     toks = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), " "] for i, t in docs.items()}
     c = Counter(w for i, x in toks.items() if zlib.crc32(str(i).encode()) % folds != 1 for w in x)
