@@ -56,20 +56,96 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def members(reps: DataFrame) -> DataFrame:
-    """(key, cls, tiles) of every band with more than one class; of bands with the same members, one.
+    """(key, band, cls, tiles) of every band with more than one class; of bands with the same members, the first.
 
     A band of many or large sets is to be cut into ``tiles``.
     """
-    rows = reps.select("cls", "n", F.explode("keys").alias("key"))
-    bands = rows.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sign"))
+    rows = reps.select("cls", "n", F.posexplode("keys").alias("band", "key"))
+    bands = rows.groupBy("key").agg(F.first("band").alias("band"), F.count("*").alias("k"), F.sum("n").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sign"))
+    one = bands.where("k > 1").groupBy("k", "size", "sign").agg(F.min(F.struct("band", "key")).alias("b"))
     tiles = F.greatest(F.ceil(F.col("k") / TILE), F.ceil(F.col("size") / TILE_SHINGLES)).cast("int").alias("tiles")
-    one = bands.where("k > 1").groupBy("k", "sign").agg(F.min(F.struct("key", "size")).alias("b")).select(F.col("b.key").alias("key_"), "k", F.col("b.size").alias("size"))
-    return written(rows.join(one.select("key_", tiles), F.col("key") == F.col("key_")).select("key", "cls", "tiles"))
+    return written(rows.join(one.select(F.col("b.key").alias("key_"), tiles), F.col("key") == F.col("key_")).select("key", "band", "cls", "tiles"))
 
 
-def full_sets(mem: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(cls, n, regs, set): the sorted shingle hashes of every class that shares a band with another."""
-    wanted = written(mem.select("cls").distinct().join(reps.select("cls", "id", "h"), "cls"))
+def tiled(mem: DataFrame) -> DataFrame:
+    """(key, i, j, band, cls, tile): members of a band once per pair of tiles that they belong to."""
+    rows = mem.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    pair = F.expr("transform(sequence(0, tiles - 1), o -> struct(least(tile, o) AS i, greatest(tile, o) AS j))")
+    return rows.select("key", "band", "cls", "tile", F.explode(pair).alias("p")).select("key", "p.i", "p.j", "band", "cls", "tile")
+
+
+def near_pairs(t: pd.DataFrame, threshold: float) -> np.ndarray:
+    """(x, y, differing registers) of the members' pairs to be settled here, most alike first.
+
+    Those from different tiles (if there are two) that share no earlier band, and whose sizes and
+    estimated similarity allow a link.
+    """
+    regs = np.frombuffer(b"".join(t["regs"]), np.uint16).reshape(len(t), ss.M)
+    n, tile = t["n"].to_numpy(), t["tile"].to_numpy()
+    across, band = t["i"].iloc[0] != t["j"].iloc[0], t["band"].iloc[0]
+    least, per_cent = threshold - MARGIN, round(threshold * 100)
+    pairs = [np.zeros((0, 3), np.int64)]
+    for x in range(len(t) - 1):
+        y = np.arange(x + 1, len(t))
+        if across:
+            y = y[tile[y] != tile[x]]
+        y = y[100 * np.minimum(n[x], n[y]) >= per_cent * np.maximum(n[x], n[y])]
+        differ = (regs[x] != regs[y]).sum(1)
+        y = y[differ <= ss.M * (1 - least + 0.1)]
+        if len(y):
+            first = (regs[x] == regs[y]).reshape(len(y), ss.BANDS, ss.ROWS).all(2).argmax(1)
+            y = y[first == band]
+        if len(y):
+            less, more = (regs[x] < regs[y]).sum(1), (regs[x] > regs[y]).sum(1)
+            near = ss.estimated(less, more, np.full(len(y), n[x]), n[y]) >= least
+            pairs.append(np.column_stack([np.full(near.sum(), x), y[near], (less + more)[near]]))
+    pairs = np.concatenate(pairs)
+    return pairs[np.argsort(pairs[:, 2], kind="stable")]
+
+
+def in_groups(rows: DataFrame, work, schema: str, to_batch, size: int) -> DataFrame:
+    """``work`` on every (key, i, j) group of ``rows`` as a pandas table; its results, in lists, become batches by ``to_batch``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, found = None, []
+        for batch in batches:
+            t = batch.to_pandas()
+            t = t if rest is None else pd.concat([rest, t], ignore_index=True)
+            cuts = np.flatnonzero((t[["key", "i", "j"]] != t[["key", "i", "j"]].shift()).any(axis=1).to_numpy())
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if e - s > 1:
+                    found += work(t.iloc[s:e])
+            rest = t.iloc[cuts[-1] :] if len(cuts) else t
+            if len(found) > 50_000:
+                yield to_batch(found)
+                found = []
+        if rest is not None and len(rest) > 1:
+            found += work(rest)
+        if found:
+            yield to_batch(found)
+
+    return in_arrow(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, schema, size)
+
+
+def needed(mem: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``tiled(mem)`` whose member has a pair to be settled there, so that other sets needn't be sent."""
+
+    def work(t: pd.DataFrame) -> list[tuple]:
+        some = np.unique(near_pairs(t, threshold)[:, :2])
+        return list(t.iloc[some][["key", "i", "j", "band", "cls", "tile"]].itertuples(index=False, name=None))
+
+    def to_batch(found: list) -> pa.RecordBatch:
+        key, i, j, band, cls, tile = zip(*found)
+        whole = [pa.array(key, pa.int64()), *(pa.array(c, pa.int32()) for c in (i, j, band))]
+        return pa.RecordBatch.from_arrays([*whole, pa.array(cls, pa.binary()), pa.array(tile, pa.int32())], ["key", "i", "j", "band", "cls", "tile"])
+
+    rows = tiled(mem).join(reps.select("cls", "n", "regs"), "cls")
+    return written(in_groups(rows, work, "key bigint, i int, j int, band int, cls binary, tile int", to_batch, 2000))
+
+
+def full_sets(need: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(cls, n, regs, set): the sorted shingle hashes of every class with a pair to be settled."""
+    wanted = written(need.select("cls").distinct().join(reps.select("cls", "id", "h"), "cls"))
     keys = wanted.select("cls", F.col("id").alias("id_"), F.col("h").alias("h_"))
     keys = F.broadcast(keys) if wanted.count() <= LOOKUP else keys
     rows = inner_names(docs, {"id": id, "t": text}).withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
@@ -85,38 +161,16 @@ def full_sets(mem: DataFrame, reps: DataFrame, docs: DataFrame, id: str, text: s
     return written(sets.join(reps.select("cls", "n", "regs"), "cls"))
 
 
-def links(mem: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) pairs of classes, all confirmed on full sets, that connect what the links within each band connect.
+def links(need: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) pairs of classes, all confirmed on full sets, that connect what all links connect.
 
-    Inside a band, pairs whose sizes and estimated similarity allow a link are confirmed in order of
-    likeness, except those that links found before already connect. So a band yields fewer links than it has
-    members, and all its pairs are settled. Large bands come as pairs of tiles; a task holds two tiles.
+    A pair is settled in the first band that its sets share. Inside a band, pairs are confirmed in order
+    of likeness, except those that links found before already connect. So a band yields fewer links
+    than it has members, and all its pairs are settled. A task holds two tiles at a time.
     """
-    rows = mem.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    pair = F.expr("transform(sequence(0, tiles - 1), o -> struct(least(tile, o) AS i, greatest(tile, o) AS j))")
-    rows = rows.select("key", "cls", "tile", F.explode(pair).alias("p")).select("key", "p.i", "p.j", "cls", "tile")
-    rows = rows.join(sets, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    least, per_cent = threshold - MARGIN, round(threshold * 100)
+    per_cent = round(threshold * 100)
 
     def settle(t: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-        regs = np.frombuffer(b"".join(t["regs"]), np.uint16).reshape(len(t), ss.M)
-        n, tile = t["n"].to_numpy(), t["tile"].to_numpy()
-        across = t["i"].iloc[0] != t["j"].iloc[0]
-        pairs = []
-        for x in range(len(t) - 1):
-            y = np.arange(x + 1, len(t))
-            if across:
-                y = y[tile[y] != tile[x]]
-            y = y[100 * np.minimum(n[x], n[y]) >= per_cent * np.maximum(n[x], n[y])]
-            less, more = (regs[x] < regs[y]).sum(1), (regs[x] > regs[y]).sum(1)
-            likely = less + more <= ss.M * (1 - least + 0.1)
-            y, less, more = y[likely], less[likely], more[likely]
-            if len(y):
-                near = ss.estimated(less, more, np.full(len(y), n[x]), n[y]) >= least
-                pairs.append(np.column_stack([np.full(near.sum(), x), y[near], (less + more)[near]]))
-        if not pairs:
-            return []
-        pairs = np.concatenate(pairs)
         up = list(range(len(t)))
 
         def root(i: int) -> int:
@@ -127,7 +181,7 @@ def links(mem: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
         full = [np.frombuffer(x, np.uint64) for x in t["set"]]
         cls, found = t["cls"].to_numpy(), []
-        for x, y, _ in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
+        for x, y, _ in near_pairs(t, threshold).tolist():
             p, q = root(x), root(y)
             if p != q:
                 a, b = (full[x], full[y]) if len(full[x]) <= len(full[y]) else (full[y], full[x])
@@ -137,29 +191,10 @@ def links(mem: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                     found.append((cls[x], cls[y]))
         return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, found = None, []
-
-        def out():
-            x, y = zip(*found) if found else ((), ())
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
-
-        for batch in batches:
-            t = batch.to_pandas()
-            t = t if rest is None else pd.concat([rest, t], ignore_index=True)
-            cuts = np.flatnonzero((t[["key", "i", "j"]] != t[["key", "i", "j"]].shift()).any(axis=1).to_numpy())
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                if e - s > 1:
-                    found += settle(t.iloc[s:e])
-            rest = t.iloc[cuts[-1] :] if len(cuts) else t
-            if len(found) > 50_000:
-                yield out()
-        if rest is not None and len(rest) > 1:
-            found += settle(rest)
-        yield out()
+    def to_batch(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
 
-    return in_arrow(rows, run, "a binary, b binary", 200).distinct()
+    return in_groups(need.join(sets, "cls"), settle, "a binary, b binary", to_batch, 200).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,7 +213,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_i
     reps = full.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("r"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("regs").alias("regs"))
     reps = written(reps.select("cls", "r.id", "r.h", "low", "n", "keys", "regs"))
     mem = members(reps)
-    found = links(mem, full_sets(mem, reps, docs, id, text), threshold)
+    need = needed(mem, reps, threshold)
+    found = links(need, full_sets(need, reps, docs, id, text), threshold)
     linked = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     comps = written(linked.select(F.col("wallet").alias("cls"), F.col("component").alias("comp")))
 
