@@ -26,7 +26,10 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def in_arrow(df: DataFrame, run, schema: str, rows: int = 1000) -> DataFrame:
-    """``mapInArrow`` with batches of few enough rows that long texts don't fill a worker."""
+    """``mapInArrow`` with batches of few enough rows that long texts don't fill a worker.
+
+    The size is a setting of the session, read when the plan runs: one plan has one size, the last one set.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(run, schema)
 
