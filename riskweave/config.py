@@ -44,20 +44,13 @@ LENS_SCORES = [
 
 @dataclass(frozen=True)
 class Settings:
-    """Run settings.
-
-    ``hot_rows`` is the size from which one window group is split over several
-    tasks; ``centrality_node_cap`` is the graph size above which global
-    centralities are reported as zero (0 = never).
-    """
+    """Run settings. ``hot_rows`` is the size from which one window group is split over several tasks."""
 
     thresholds: Thresholds = field(default_factory=Thresholds)
     hot_rows: int = 2_000_000
-    centrality_node_cap: int = 4000
     window_hours: int = 24
     sync_seconds: int = 60
     clip_quantile: float = 0.999
-    clip_min_rows: int = 100
     risky_pagerank: float = 0.01
     min_rule_confidence: float = 0.15
     sequence_length: int = 50

@@ -69,9 +69,9 @@ def add_optional_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(COLUMN_TYPES.get(c, "string")) for c in missing}) if missing else df
 
 
-def clip_outliers(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """CLN4: above ``clip_min_rows`` rows, cap the amount at its ``clip_quantile`` quantile."""
-    if df.count() <= settings.clip_min_rows:
+def clip_outliers(df: DataFrame, settings: Settings = DEFAULTS, cap_amounts: bool = True) -> DataFrame:
+    """CLN4: cap the amount at its ``clip_quantile`` quantile, unless the caller asks not to."""
+    if not cap_amounts or df.isEmpty():
         return df
     cap = exact_quantile(df, "amount", settings.clip_quantile, settings.hot_rows)
     return df.withColumn("amount", F.least(F.col("amount"), F.lit(cap)))

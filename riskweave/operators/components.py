@@ -45,6 +45,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_i
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components did not settle in {max_iter} rounds")
     roots = e.select(F.col("v").alias("wallet")).distinct().withColumn("component", F.col("wallet"))
     out = e.select(F.col("u").alias("wallet"), F.col("v").alias("component")).unionByName(roots)
     if nodes is None:

@@ -70,13 +70,12 @@ def ego_links(edges: DataFrame) -> DataFrame:
     return triangles(edges).select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("exists").drop("exists")
 
 
-def ego_cycles(edges: DataFrame, enough: int = 5) -> DataFrame:
+def ego_cycles(edges: DataFrame, enough: int | None = None) -> DataFrame:
     """GRA5a: cycles of up to 3, 4, 5 and 6 wallets through ``wallet`` inside its ego network.
 
     Two-, three- and four-wallet cycles are counted by aggregation alone. Longer
-    ones are walked only for wallets whose count is still below ``enough``: every
-    rule's confidence is constant from there on, so rule results are exact while
-    ``n5``/``n6`` are lower bounds once they reach ``enough``.
+    ones are walked for all wallets, or, if a caller that only asks whether a count reaches ``enough``
+    says so, for those whose count is still below it; ``n5``/``n6`` are then lower bounds from there on.
     """
     two = undirected_pairs(edges).where("ab AND ba").select(F.explode(F.array("a", "b")).alias("w"))
     two = two.groupBy("w").agg(F.count(F.lit(1)).alias("c2"))
@@ -99,7 +98,7 @@ def ego_cycles(edges: DataFrame, enough: int = 5) -> DataFrame:
     n = walls.join(two, "w", "left").join(three, "w", "left").join(four, "w", "left").na.fill(0)
     n = cut_lineage(n.select("w", (F.col("c2") + F.col("c3")).alias("n3"), (F.col("c2") + F.col("c3") + F.col("c4")).alias("n4")))
 
-    open_w = n.where(F.col("n4") < enough).select("w")
+    open_w = (n if enough is None else n.where(F.col("n4") < enough)).select("w")
     part = ego.join(open_w, "w", "left_semi")
     step = part.select("w", F.col("a").alias("p"), F.col("b").alias("q"), "ends")
     walk3 = (
@@ -111,7 +110,7 @@ def ego_cycles(edges: DataFrame, enough: int = 5) -> DataFrame:
     five = walk4.where("ends").groupBy("w").agg(F.count(F.lit(1)).alias("c5"))
     n = cut_lineage(n.join(five, "w", "left").withColumn("n5", F.col("n4") + F.coalesce("c5", zero)).drop("c5"))
 
-    open_w = n.where(F.col("n5") < enough).select("w")
+    open_w = (n if enough is None else n.where(F.col("n5") < enough)).select("w")
     walk4 = walk4.join(open_w, "w", "left_semi").select("w", "a1", "a2", F.col("p").alias("a3"), F.col("q").alias("p"))
     walk5 = walk4.join(step.where("ends"), ["w", "p"]).where(~F.col("q").isin(F.col("a1"), F.col("a2"), F.col("a3")))
     six = walk5.groupBy("w").agg(F.count(F.lit(1)).alias("c6"))

@@ -19,9 +19,9 @@ def latest(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.orderBy(F.col(column).desc()).limit(n)
 
 
-def dashboard(runs: DataFrame, newest: int = 200) -> DataFrame:
-    """AGG14: totals over the newest runs and the latest completed one."""
-    r = latest(runs, "created_at", newest)
+def dashboard(runs: DataFrame, newest: int | None = None) -> DataFrame:
+    """AGG14: totals over all runs, or the ``newest`` ones if a number is given, and the latest completed one."""
+    r = runs if newest is None else latest(runs, "created_at", newest)
     done = F.col("status") == "completed"
     return r.agg(
         F.count(F.lit(1)).alias("total_runs"), F.count_if(done).alias("completed_runs"), F.sum("total_txns").alias("total_txns"),

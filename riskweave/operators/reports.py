@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from .views import with_level
 
-# Sentence formats of the run summary.
-SUMMARY_LINE = "%d txs scored; %d suspicious; %d clusters; threshold ≈ %.4f."
-BANDS_LINE = "Risk bands: %s—focus on non-bulk bands first."
-REVIEW_LINE = "Review first (by score): %s (top ≈ %.4f, %s)."
-NO_REVIEW_LINE = "Sort suspicious list by meta-score to pick review order."
-THEMES_LINE = "Cluster themes: %s—trace wallets in the cluster graphs."
-OPEN_LINE = "Open each cluster graph to see wallet links."
-NO_CLUSTERS_LINE = "No clusters in this run; rely on per-tx scores."
+# Sentence formats of the run summary.
+SUMMARY_LINE = "Transfers: %d. Flagged: %d. Groups: %d. Decision limit: %.4f."
+BANDS_LINE = "Transfers per level: %s."
+REVIEW_LINE = "Highest scores: %s; the first has %.4f and level %s."
+NO_REVIEW_LINE = "No transfer is flagged."
+THEMES_LINE = "Typologies of the groups: %s."
+OPEN_LINE = "The groups have no typology."
+NO_CLUSTERS_LINE = "No groups were formed."
 
 
 def score_distribution(scores: DataFrame) -> DataFrame:
@@ -47,17 +47,12 @@ def cluster_findings(clusters: DataFrame) -> DataFrame:
     return with_level(clusters).select("cluster_id", "label", "typology", "risk_score", "risk_level", "wallet_count", "tx_count", "total_amount")
 
 
-def run_document(run_id: str, summary: DataFrame, top: DataFrame, findings: DataFrame, first: int = 1000) -> DataFrame:
-    """REP1 / SNK5: one nested document: counts, the top rows and the ``first`` highest-risk clusters.
-
-    All clusters stay available as ``cluster_findings`` rows; the document holds a bounded list.
-    """
+def run_document(run_id: str, summary: DataFrame, top: DataFrame, findings: DataFrame) -> DataFrame:
+    """REP1 / SNK5: the run's document as rows: the first with counts and the top rows, then one per cluster."""
     t = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("meta_score")).alias("r"), "ord", *[c for c in top.columns if c != "ord"]))).alias("t"))
-    head = findings.orderBy(F.col("risk_score").desc(), "cluster_id").limit(first)
-    c = head.agg(F.collect_list(F.struct(*findings.columns)).alias("c"))
-    return summary.select(
-        F.lit(run_id).alias("run_id"), F.struct(*summary.columns).alias("summary"), t.scalar().alias("top_suspicious_transactions"), c.scalar().alias("cluster_findings")
-    )
+    head = summary.select(F.lit(run_id).alias("run_id"), F.struct(*summary.columns).alias("summary"), t.scalar().alias("top_suspicious_transactions"))
+    each = findings.select(F.lit(run_id).alias("run_id"), F.struct(*findings.columns).alias("cluster_finding"))
+    return head.unionByName(each, allowMissingColumns=True)
 
 
 def run_summary(summary: DataFrame, top: DataFrame, findings: DataFrame, max_words: int = 100) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,11 +137,14 @@ def screening(edges: DataFrame, screened: DataFrame) -> DataFrame:
     )
 
 
-def distance_to(edges: DataFrame, targets: DataFrame, max_hops: int = 10) -> DataFrame:
-    """Steps to the nearest target wallet, by breadth-first search from all targets at once."""
+def distance_to(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Steps to the nearest target wallet, by breadth-first search from all targets at once.
+
+    The search ends when it reaches no further wallet; unreachable wallets have no row.
+    """
     nb = neighbours(edges)
     seen = cut_lineage(targets.select("wallet").distinct().withColumn("steps", F.lit(0)))
-    for h in range(1, max_hops + 1):
+    for h in count(1):
         rim = seen.where(F.col("steps") == h - 1).join(nb, "wallet").select(F.col("nb").alias("wallet")).distinct()
         new = cut_lineage(rim.join(seen, "wallet", "left_anti").withColumn("steps", F.lit(h)))
         if new.isEmpty():

@@ -104,13 +104,13 @@ def _hub_pairs(e: DataFrame, up: DataFrame, hubs: DataFrame) -> DataFrame:
     return pairs.groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("p"))
 
 
-def longest_hops(win: DataFrame, max_iter: int = 10_000) -> DataFrame:
+def longest_hops(win: DataFrame) -> DataFrame:
     """GRA7: longest time-respecting walk starting at each wallet.
 
     Round k keeps, per wallet, the latest send that begins a walk of k transfers. A
     send extends it when it happens before the latest k-walk start of its receiver,
     so each round is one join against one row per wallet and one maximum; rows that
-    cannot extend are dropped for good.
+    cannot extend are dropped for good. Rounds end with the longest walk.
     """
     step = win.select(
         F.col("sender_wallet").alias("s"), F.col("receiver_wallet").alias("r"), F.struct("timestamp", "ord").alias("at")
@@ -118,7 +118,7 @@ def longest_hops(win: DataFrame, max_iter: int = 10_000) -> DataFrame:
     step = cut_lineage(step)
     latest = cut_lineage(step.groupBy(F.col("s").alias("wallet")).agg(F.max("at").alias("t")))
     rounds, k = [], 1
-    while k < max_iter and not latest.isEmpty():
+    while not latest.isEmpty():
         rounds.append(latest.select("wallet", F.lit(k).alias("hops")))
         step = cut_lineage(step.join(latest, F.col("r") == F.col("wallet")).where(F.col("at") < F.col("t")).select("s", "r", "at"))
         latest = cut_lineage(step.groupBy(F.col("s").alias("wallet")).agg(F.max("at").alias("t")))

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import cleaning as c
 from ..operators.ordered import exact_quantile
+from ..session import prepare
 from ..sources import store
 from ..sources import transfers as src
-from ..sources.adapter import large_transfers, table, transfers
+from ..sources.adapter import cell_transfers, table, transfers
 from .catalog import query
 from .sql import D, I, S, T, select, sql
 
 
 def scratch(spark, name: str) -> str:
     """A new folder for a query that writes and reads back: beside the checkpoints, so all executors reach it."""
-    base = spark.sparkContext.getCheckpointDir()
-    if base is None:
-        return tempfile.mkdtemp(prefix=f"riskweave-{name}-")
-    import uuid
-
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{prepare(spark).sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def raw(spark, d):
@@ -166,7 +162,7 @@ def src4(spark, d):
     """Two runs in one partitioned table; one is read back by its run id."""
     path = scratch(spark, "runs")
     store.append_run(transfers(spark, d).select("transaction_id", "amount"), path, "all")
-    store.append_run(large_transfers(spark, d).select("transaction_id", "amount"), path, "large")
+    store.append_run(cell_transfers(spark, d).select("transaction_id", "amount"), path, "large")
     return store.read_run(spark, path, "large").select("transaction_id", "amount")
 
 
@@ -185,7 +181,7 @@ def src6(spark, d):
 @query("snk1", select(S(run_id="run_id"), I(n="count(*)"), tail="FROM (SELECT 'first' AS run_id FROM tx_l UNION ALL SELECT 'second' FROM tx_a) GROUP BY 1"))
 def snk1(spark, d):
     path = scratch(spark, "append")
-    store.append_run(large_transfers(spark, d), path, "first")
+    store.append_run(cell_transfers(spark, d), path, "first")
     store.append_run(transfers(spark, d), path, "second")
     return spark.read.parquet(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -196,7 +192,7 @@ def snk1(spark, d):
 def snk2(spark, d):
     """A stored score per wallet replaced by the last new one where there is one."""
     old = transfers(spark, d).groupBy(F.col("sender_wallet").alias("wallet")).agg(F.max("fee").alias("score"))
-    new = large_transfers(spark, d).select(F.col("sender_wallet").alias("wallet"), F.col("amount").alias("score"), "ord")
+    new = cell_transfers(spark, d).select(F.col("sender_wallet").alias("wallet"), F.col("amount").alias("score"), "ord")
     return store.upsert(old, new, ["wallet"], ["ord"]).select("wallet", "score")
 
 

@@ -16,7 +16,7 @@ from ..operators.cleaning import trailing_hours
 from ..operators.pagerank import pagerank
 from ..operators.window24 import active_wallets, longest_hops, reconvergence, splitting, velocity, window_features
 from ..session import cut_lineage
-from ..sources.adapter import large_transfers, table, transfers
+from ..sources.adapter import cell_transfers, table, transfers
 from .catalog import query
 from .scoring import build_graph, global_metrics
 from .sql import D, I, S, T, select, sql
@@ -27,11 +27,11 @@ def edges_of(spark, d):
 
 
 def large_graph(spark, d):
-    return build_graph(large_transfers(spark, d))
+    return build_graph(cell_transfers(spark, d))
 
 
 def communities(spark, d):
-    """Components of the high-value graph as a fixed partition."""
+    """Components of the cell graph as a fixed partition."""
     lg = large_graph(spark, d)
     return lg, connected_components(lg.edges, lg.nodes).withColumnRenamed("component", "community")
 
@@ -146,7 +146,7 @@ def gra1(spark, d):
 
 @query("gra2")
 def gra2(spark, d):
-    """Exact betweenness of the high-value graph."""
+    """Exact betweenness of the cell graph."""
     lg = large_graph(spark, d)
     return betweenness(lg.edges, lg.nodes)
 
@@ -162,7 +162,7 @@ def gra3(spark, d):
 @query("gra4", select(S(wallet="wallet"), D(pagerank="0", betweenness="0", clustering_coefficient="0"), tail="FROM nd_a"))
 def gra4(spark, d):
     """Above the node cap the global metrics are zero."""
-    return global_metrics(build_graph(transfers(spark, d)), None, Settings(centrality_node_cap=50))
+    return global_metrics(build_graph(transfers(spark, d)), "none")
 
 
 def cycle_walk(s: str) -> str:
@@ -173,16 +173,16 @@ FROM walk w JOIN ed_{s} e ON e.src = w.last
 WHERE NOT w.closed AND (e.dst = w.root OR (e.dst > w.root AND NOT list_contains(w.path, e.dst) AND len(w.path) < 10))"""
 
 
-@query("gra5", sql("SELECT array_to_string(path, '>') AS path, CAST(len(path) AS BIGINT) AS length FROM walk WHERE closed", walk=cycle_walk("m")))
+@query("gra5", sql("SELECT array_to_string(path, '>') AS path, CAST(len(path) AS BIGINT) AS length FROM walk WHERE closed", walk=cycle_walk("l")))
 def gra5(spark, d):
-    """Simple cycles of up to ten wallets among transfers from 11,000."""
-    return simple_cycles(g.wallet_edges(large_transfers(spark, d, 11000.0)), 10).select(F.array_join("path", ">").alias("path"), "length")
+    """Simple cycles of up to ten wallets in the cell graph."""
+    return simple_cycles(g.wallet_edges(cell_transfers(spark, d)), 10).select(F.array_join("path", ">").alias("path"), "length")
 
 
-@query("gra5a", select(S(wallet="wallet"), I(n3="c2 + c3", n4="c2 + c3 + c4", n5="least(c2 + c3 + c4 + c5, 5)", n6="least(c2 + c3 + c4 + c5 + c6, 5)"), tail="FROM cy_a"))
+@query("gra5a", select(S(wallet="wallet"), I(n3="c2 + c3", n4="c2 + c3 + c4", n5="c2 + c3 + c4 + c5", n6="c2 + c3 + c4 + c5 + c6"), tail="FROM cy_a"))
 def gra5a(spark, d):
     n = ego_cycles(edges_of(spark, d))
-    return n.select("wallet", "n3", "n4", F.least("n5", F.lit(5)).alias("n5"), F.least("n6", F.lit(5)).alias("n6"))
+    return n.select("wallet", "n3", "n4", "n5", "n6")
 
 
 @query("gra5b", sql("SELECT wallet, count(*) AS circularity_score FROM (SELECT unnest(path) AS wallet FROM walk WHERE closed) GROUP BY 1", walk=cycle_walk("w")))
@@ -251,14 +251,14 @@ HOPS = {
 
 @query("gra11", sql("SELECT wallet, CAST(hop AS BIGINT) AS hop FROM near", **HOPS))
 def gra11(spark, d):
-    """Wallets within three steps of the busiest high-value wallet."""
-    e = cut_lineage(g.wallet_edges(large_transfers(spark, d)))
+    """Wallets within three steps of the busiest wallet of the cell graph."""
+    e = cut_lineage(g.wallet_edges(cell_transfers(spark, d)))
     return khop.k_hop_nodes(e, busiest(e), 3)
 
 
 @query("gra11_edges", sql("SELECT src, dst FROM ed_l WHERE src IN (SELECT wallet FROM near) AND dst IN (SELECT wallet FROM near)", **HOPS))
 def gra11_edges(spark, d):
-    e = cut_lineage(g.wallet_edges(large_transfers(spark, d)))
+    e = cut_lineage(g.wallet_edges(cell_transfers(spark, d)))
     return khop.k_hop_subgraph(e, busiest(e), 3)["edges"].select("src", "dst")
 
 
@@ -380,7 +380,7 @@ def agg17(spark, d):
     from ..operators.training import wallet_labels
 
     _, part = communities(spark, d)
-    return cl.community_labels(part, wallet_labels(large_transfers(spark, d)))
+    return cl.community_labels(part, wallet_labels(cell_transfers(spark, d)))
 
 
 DENSITY = """SELECT component, CASE WHEN count(*) > 1 THEN any_value(coalesce(k, 0)) / (count(*) * (count(*) - 1)) ELSE 0 END AS dens

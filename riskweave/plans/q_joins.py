@@ -10,7 +10,7 @@ from ..operators.selection import high_risk_wallets, touched_wallets
 from ..operators.tx_features import transaction_features
 from ..operators.window24 import velocity
 from ..sources import transfers as src
-from ..sources.adapter import large_transfers, table, transfers
+from ..sources.adapter import cell_transfers, table, transfers
 from .catalog import query
 from .q_scalars import LEVEL, SCORE, derived_score
 from .scoring import build_graph, combined_features, node_features
@@ -21,7 +21,7 @@ def scored(spark, d):
     """Transfers with a derived score and level."""
     from ..functions.risk import level_from_score
 
-    t = transfers(spark, d).withColumn("meta_score", derived_score())
+    t = cell_transfers(spark, d).withColumn("meta_score", derived_score())
     return t.withColumn("risk_level", level_from_score(F.col("meta_score")))
 
 
@@ -29,7 +29,7 @@ def scores(spark, d):
     return scored(spark, d).select("transaction_id", "meta_score", "risk_level")
 
 
-SC = f"(SELECT *, {SCORE} AS meta_score, {LEVEL.format(s=SCORE)} AS risk_level FROM tx_a)"
+SC = f"(SELECT *, {SCORE} AS meta_score, {LEVEL.format(s=SCORE)} AS risk_level FROM tx_l)"
 
 
 @query("joi1", select(S(transaction_id="transaction_id"), I(sender_graph_in_degree="coalesce(s.in_degree, 0)", receiver_graph_out_degree="coalesce(r.out_degree, 0)", in_degree="coalesce(s.in_degree, 0)"),
@@ -89,13 +89,13 @@ def joi5(spark, d):
 @query("joi6", select(S(transaction_id="transaction_id"), D(meta_score="meta_score"), tail=f"FROM {SC} WHERE transaction_id IN (SELECT transaction_id FROM tx_l)"))
 def joi6(spark, d):
     """Batch score lookup for a set of ids."""
-    return scores(spark, d).join(large_transfers(spark, d).select("transaction_id"), "transaction_id", "left_semi").select("transaction_id", "meta_score")
+    return scores(spark, d).join(cell_transfers(spark, d).select("transaction_id"), "transaction_id", "left_semi").select("transaction_id", "meta_score")
 
 
 @query("joi8", sql("SELECT x.src AS w, count(DISTINCT p.dst) AS shared_children FROM ed_l x JOIN ed_l y ON y.src = x.src AND y.dst <> x.dst JOIN ed_l p ON p.src = x.dst JOIN ed_l q ON q.src = y.dst AND q.dst = p.dst GROUP BY 1"))
 def joi8(spark, d):
     """Targets reached through two different successors."""
-    e = g.wallet_edges(large_transfers(spark, d)).select("src", "dst")
+    e = g.wallet_edges(cell_transfers(spark, d)).select("src", "dst")
     two = e.toDF("w", "a").join(e.toDF("a", "c"), "a").groupBy("w", "c").agg(F.count(F.lit(1)).alias("k"))
     return two.where(F.col("k") >= 2).groupBy("w").agg(F.count(F.lit(1)).alias("shared_children"))
 
@@ -117,7 +117,7 @@ def joi11(spark, d):
     """Cases with their wallets, one row per wallet."""
     from ..operators.components import connected_components
 
-    lg = build_graph(large_transfers(spark, d))
+    lg = build_graph(cell_transfers(spark, d))
     c = connected_components(lg.edges, lg.nodes)
     n = c.groupBy("component").agg(F.count(F.lit(1)).alias("wallets")).where(F.col("wallets") >= 3)
     return n.join(c, "component").select(F.col("component").alias("case_id"), "wallet", "wallets")
@@ -125,14 +125,14 @@ def joi11(spark, d):
 
 REPR = """SELECT 'rep_' || n.wallet AS transaction_id, CASE WHEN o.v IS NOT NULL THEN n.wallet ELSE i.v END AS sender_wallet,
   CASE WHEN o.v IS NOT NULL THEN o.v ELSE n.wallet END AS receiver_wallet, n.label, n.amount
-FROM (SELECT sender_wallet AS wallet, max(CASE WHEN label = 'illicit' THEN 1 ELSE 0 END) AS label, max(amount) AS amount FROM tx_a WHERE label IS NOT NULL GROUP BY 1
+FROM (SELECT sender_wallet AS wallet, max(CASE WHEN label = 'illicit' THEN 1 ELSE 0 END) AS label, max(amount) AS amount FROM tx_l WHERE label IS NOT NULL GROUP BY 1
   UNION ALL SELECT 'lonely_' || n_name, 0, 1.0 FROM nation) n
 LEFT JOIN (SELECT src, min(dst) v FROM ed_l GROUP BY 1) o ON o.src = n.wallet LEFT JOIN (SELECT dst, min(src) v FROM ed_l GROUP BY 1) i ON i.dst = n.wallet
 WHERE o.v IS NOT NULL OR i.v IS NOT NULL"""
 
 
 def labelled_nodes(spark, d):
-    t = transfers(spark, d).where(F.col("label").isNotNull())
+    t = cell_transfers(spark, d).where(F.col("label").isNotNull())
     return t.groupBy(F.col("sender_wallet").alias("node_id")).agg(
         F.when(F.max((F.col("label") == "illicit").cast("int")) == 1, "illicit").otherwise("licit").alias("label"),
         F.max("amount").alias("amount"), F.max("timestamp").alias("timestamp"),
@@ -141,8 +141,8 @@ def labelled_nodes(spark, d):
 
 @query("joi13", select(S(transaction_id="transaction_id", sender_wallet="sender_wallet", receiver_wallet="receiver_wallet"), I(label="label"), D(amount="greatest(amount, 1e-8)"), tail="FROM repr", repr=REPR))
 def joi13(spark, d):
-    """One representative high-value edge per labelled wallet."""
-    e = g.wallet_edges(large_transfers(spark, d)).select("src", "dst")
+    """One representative edge per labelled wallet."""
+    e = g.wallet_edges(cell_transfers(spark, d)).select("src", "dst")
     return src.representative_edges(labelled_nodes(spark, d), e).select("transaction_id", "sender_wallet", "receiver_wallet", "label", "amount")
 
 
@@ -159,9 +159,9 @@ def joi14(spark, d):
 UNION ALL SELECT 'features', count(*) FROM tx_a WHERE sender_wallet IN (SELECT wallet FROM nd_l)
 UNION ALL SELECT 'labels', count(DISTINCT sender_wallet) FROM tx_a WHERE label IS NOT NULL AND sender_wallet IN (SELECT wallet FROM nd_l)"""))
 def fil6(spark, d):
-    """Edges, features and labels restricted to the wallets of the high-value graph."""
+    """Edges, features and labels restricted to the wallets of the cell graph."""
     t = transfers(spark, d)
-    keep = g.nodes_of(g.wallet_edges(large_transfers(spark, d)))
+    keep = g.nodes_of(g.wallet_edges(cell_transfers(spark, d)))
     labels = t.where(F.col("label").isNotNull()).select(F.col("sender_wallet").alias("wallet")).distinct()
     parts = training.subset(g.wallet_edges(t), t, labels, keep)
     return src.union_in_order([df.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("n")) for n, df in parts.items()])
@@ -172,14 +172,14 @@ def set2(spark, d):
     """Component wallets that are also high-risk wallets."""
     from ..operators.components import connected_components
 
-    lg = build_graph(large_transfers(spark, d))
+    lg = build_graph(cell_transfers(spark, d))
     hit = connected_components(lg.edges, lg.nodes).join(high_risk_wallets(scored(spark, d)), "wallet", "left_semi")
     return hit.groupBy("component").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("sel2", sql("SELECT sender_wallet AS wallet FROM tx_l UNION SELECT receiver_wallet FROM tx_l"))
 def sel2(spark, d):
-    return touched_wallets(large_transfers(spark, d))
+    return touched_wallets(cell_transfers(spark, d))
 
 
 @query("sel3", sql(f"SELECT sender_wallet AS wallet FROM {SC} WHERE meta_score >= 0.995 UNION SELECT receiver_wallet FROM {SC} WHERE meta_score >= 0.995"))
@@ -191,7 +191,7 @@ def sel3(spark, d):
 FROM (SELECT *, 'draft' AS status FROM tx_l) WHERE CASE WHEN ord % 3 = 0 THEN 'filed' ELSE status END = 'filed' ORDER BY timestamp DESC, ord LIMIT 20"""))
 def fil5(spark, d):
     """Draft records of which every third is filed; the newest filed ones are listed."""
-    rec = large_transfers(spark, d).select(F.col("transaction_id").alias("record_id"), F.lit("draft").alias("status"), F.col("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("filing_date"), "ord")
+    rec = cell_transfers(spark, d).select(F.col("transaction_id").alias("record_id"), F.lit("draft").alias("status"), F.col("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("filing_date"), "ord")
     new = filing.set_status(rec, F.col("ord") % 3 == 0, "filed")
     out = filing.by_status(new, "filed", 20)
     return out.select("record_id", "status", F.col("filing_date").isNotNull().alias("filed"), "created_at")
@@ -200,7 +200,7 @@ def fil5(spark, d):
 @query("trn_features", select(S(transaction_id="transaction_id"), I(label="label"), D(amount="greatest(amount, 1e-8)"), tail="FROM repr", repr=REPR))
 def trn_features(spark, d):
     """Per-transfer features of the representative training rows."""
-    e = g.wallet_edges(large_transfers(spark, d)).select("src", "dst")
+    e = g.wallet_edges(cell_transfers(spark, d)).select("src", "dst")
     rows = src.representative_edges(labelled_nodes(spark, d), e)
     f = transaction_features(rows.withColumns({"fee": F.lit(None).cast("double"), "ord": F.xxhash64("transaction_id")}))
     return f.select("transaction_id", "label", "amount")

@@ -39,7 +39,7 @@ def base(spark, d, cycles=False, peel=False, structure=False, shares=None, extra
     if structure:
         parts.append(g.structural_features(m, g.neighbours(e)).select("wallet", "relay_pattern_score", "unique_counterparties"))
     if cycles:
-        parts.append(ego_cycles(e))
+        parts.append(ego_cycles(e, enough=5))
     if peel:
         parts.append(peel_edges(e))
     return wallet_context(g.wallet_profiles(t, m), shares, *parts, as_of=latest(t), enrichment=extra)

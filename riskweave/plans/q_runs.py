@@ -13,7 +13,7 @@ from ..operators.selection import high_risk_wallets, suspicious, touched_wallets
 from ..operators.tx_features import send_history
 from ..operators.training import time_split
 from ..session import cut_lineage
-from ..sources.adapter import large_transfers, transfers
+from ..sources.adapter import cell_transfers, transfers
 from .catalog import query
 from .q_joins import SC, scored
 from .q_rules import latest
@@ -33,7 +33,7 @@ def score_run(t):
 
 
 def run_l(spark, d):
-    return score_run(large_transfers(spark, d))
+    return score_run(cell_transfers(spark, d))
 
 
 @query("flagship", select(S(transaction_id="transaction_id", sender_wallet="sender_wallet", receiver_wallet="receiver_wallet", risk_level="risk_level", top_rule="top_name"),
@@ -50,7 +50,7 @@ def flagship(spark, d):
 @query("len4", select(S(wallet="wallet"), D(entity_score="entity_score"), tail="FROM en_l"))
 def len4(spark, d):
     """Entity score without a classifier, components as communities."""
-    lg = build_graph(large_transfers(spark, d))
+    lg = build_graph(cell_transfers(spark, d))
     part = connected_components(lg.edges, lg.nodes).withColumnRenamed("component", "community")
     return entity_fallback(lg, part).select("wallet", "entity_score")
 
@@ -95,7 +95,7 @@ def met5(spark, d):
 @query("met6", select(S(transaction_id="transaction_id", risk_level="risk_level", meta_provenance="'fallback'", coverage_tier="'tier0'", ids="coalesce(ids, '')", top_rule="top_name"),
                       I(rules_fired="fired"), D(meta_score="meta_score", entity_score="entity_score", decision_threshold="0.75"), tail="FROM sc_l"))
 def met6(spark, d):
-    """Result rows of the high-value run."""
+    """Result rows of the cell run."""
     s, _, _ = run_l(spark, d)
     return s.select("transaction_id", "risk_level", "meta_provenance", "coverage_tier", F.coalesce(F.array_join("triggered_ids", ","), F.lit("")).alias("ids"),
                     F.col("heuristic_top_typology").alias("top_rule"), F.coalesce("heuristic_triggered_count", F.lit(0)).alias("rules_fired"), "meta_score", "entity_score", "decision_threshold")
@@ -137,7 +137,7 @@ LEFT JOIN (SELECT cluster_id, avg(meta_score) m FROM touch GROUP BY 1) r USING (
 
 
 def cluster_run(spark, d):
-    """Scores, suspicious rows, clusters and typologies of the high-value run."""
+    """Scores, suspicious rows, clusters and typologies of the cell run."""
     s, gr, _ = run_l(spark, d)
     return cluster_tables(s, s.where(suspicious()), gr)
 
@@ -172,12 +172,12 @@ HIGH = f"SELECT sender_wallet AS wallet FROM {SC} WHERE meta_score >= 0.75 UNION
                       D(risk_score="c.n / z.n", total_amount="e.a"), tail="""FROM (SELECT component, count(*) n FROM cc_l WHERE wallet IN (SELECT wallet FROM high) GROUP BY 1 HAVING count(*) >= 3) c
 JOIN (SELECT component, count(*) n FROM cc_l GROUP BY 1) z USING (component) LEFT JOIN (SELECT component, sum(amount) a, min(timestamp) lo, max(timestamp) hi FROM ed_l JOIN cc_l ON wallet = src GROUP BY 1) e USING (component)""", high=HIGH))
 def clu4(spark, d):
-    """Cases around high-risk wallets in the high-value graph."""
+    """Cases around high-risk wallets in the cell graph."""
     return cases(spark, d).drop("explanation")
 
 
 def cases(spark, d):
-    lg = build_graph(large_transfers(spark, d))
+    lg = build_graph(cell_transfers(spark, d))
     comps = cut_lineage(connected_components(lg.edges, lg.nodes))
     return cl.case_facts(lg.edges, comps, high_risk_wallets(scored(spark, d)))
 
@@ -214,7 +214,7 @@ FROM (SELECT cluster_id, count(*) n, max(out_degree) mo, max(in_degree) mi, sum(
 
 
 def component_rows(spark, d):
-    """High-value transfers with their component as cluster, ground-truth hint and derived off-ramp score."""
+    """Cell transfers with their component as cluster, ground-truth hint and derived off-ramp score."""
     s, gr, comps = run_l(spark, d)
     mem = comps.select("wallet", F.col("component").alias("cluster_id"))
     rows = s.join(mem.withColumnRenamed("wallet", "sender_wallet"), "sender_wallet")
@@ -244,7 +244,7 @@ def typ4(spark, d):
 
 
 def structure_inputs(spark, d):
-    lg = build_graph(large_transfers(spark, d))
+    lg = build_graph(cell_transfers(spark, d))
     mem = connected_components(lg.edges, lg.nodes).select("wallet", F.col("component").alias("cluster_id"))
     return cl.cluster_edges(lg.edges, mem), cl.member_degrees(lg.edges, mem)
 

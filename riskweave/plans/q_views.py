@@ -10,7 +10,7 @@ from ..operators import filing, reports, views
 from ..operators.components import connected_components
 from ..operators.rules.registry import RuleBook
 from ..session import cut_lineage
-from ..sources.adapter import large_transfers
+from ..sources.adapter import cell_transfers
 from .catalog import query
 from .q_joins import SC, scored
 from .q_runs import cases
@@ -18,7 +18,7 @@ from .q_scalars import LEVEL
 from .scoring import build_graph
 from .sql import D, I, S, T, select, sql
 
-# A derived run over the high-value transfers: scores from the row number, components as clusters.
+# A derived run over the cell transfers: scores from the row number, components as clusters.
 RISK = "(ord * 37 % 1000) / 1000.0::DOUBLE"
 V = {
     "rows_s": f"SELECT t.*, {RISK} AS meta_score, {LEVEL.format(s=RISK)} AS risk_level, CASE asset_type WHEN 'view' THEN 'PeelChain' WHEN 'click' THEN 'MuleDeposits' ELSE 'FanOutDispersal' END AS typology FROM tx_l t",
@@ -37,7 +37,7 @@ class Derived:
     def __init__(self, spark, d):
         from ..functions.risk import level_from_score
 
-        t = large_transfers(spark, d)
+        t = cell_transfers(spark, d)
         self.graph = build_graph(t)
         comps = cut_lineage(connected_components(self.graph.edges, self.graph.nodes))
         self.members = comps.select("wallet", F.col("component").alias("cluster_id"))
@@ -66,7 +66,7 @@ def enriched(spark, d, v=None):
         *[F.lit(0.0).alias(c) for c in ("entity_score", "graph_score", "behavioral_score", "temporal_score", "offramp_score")],
     )
     sus = v.suspicious.select("transaction_id", "meta_score", "risk_level", "typology", "cluster_id")
-    return views.enriched_suspicious(sus, large_transfers(spark, d), stored, RuleBook.standard().names())
+    return views.enriched_suspicious(sus, cell_transfers(spark, d), stored, RuleBook.standard().names())
 
 
 def _enriched_rows(spark, d):
@@ -85,7 +85,7 @@ def vie1(spark, d):
     return _enriched_rows(spark, d)
 
 
-ENDS = "(SELECT sender_wallet AS wallet, * FROM sus UNION ALL SELECT receiver_wallet, * FROM sus)"
+ENDS = "(SELECT sender_wallet AS wallet, * FROM sus UNION ALL SELECT receiver_wallet, * FROM sus WHERE receiver_wallet <> sender_wallet)"
 
 
 @query("vie2", select(S(wallet="wallet", risk_level=NAME.format(x="greatest(cr, coalesce(sr, 0))"), top_heuristic="CASE WHEN coalesce(sm > risk_score, false) THEN st ELSE typology END"),
@@ -188,7 +188,7 @@ def vie6(spark, d):
 def sca15(spark, d):
     """Audit fields, and the sentences the text must contain."""
     e = explained(spark, d)
-    return e.select("transaction_id", "n_active_lenses", F.col("summary").contains("HIGH RISK").alias("high"), F.col("summary").contains("unusual activity").alias("anomaly"))
+    return e.select("transaction_id", "n_active_lenses", F.col("summary").contains("level HIGH").alias("high"), F.col("summary").contains("reconstruction model expects").alias("anomaly"))
 
 
 def typed_cases(spark, d):
@@ -237,7 +237,7 @@ def snk5(spark, d):
 
     path = scratch(spark, "document")
     write_documents(reports.run_document("derived", *report_parts(spark, d)), path)
-    return spark.read.json(path).select("run_id", F.size("top_suspicious_transactions").alias("n_top"), F.size("cluster_findings").alias("n_findings"))
+    return spark.read.json(path).groupBy("run_id").agg(F.max(F.size("top_suspicious_transactions")).alias("n_top"), F.count("cluster_finding").alias("n_findings"))
 
 
 @query("rep2")
@@ -251,7 +251,7 @@ def rep3(spark, d):
     """Case report with the high-risk wallets of each case."""
     from ..operators.selection import high_risk_wallets
 
-    lg = build_graph(large_transfers(spark, d))
+    lg = build_graph(cell_transfers(spark, d))
     comps = cut_lineage(connected_components(lg.edges, lg.nodes))
     marked = high_risk_wallets(scored(spark, d))
     r = reports.case_report(cl.case_facts(lg.edges, comps, marked), cl.cluster_members(comps, marked, 3))
@@ -269,7 +269,7 @@ def rep4(spark, d):
 
 
 def filings(spark, d):
-    lg = build_graph(large_transfers(spark, d))
+    lg = build_graph(cell_transfers(spark, d))
     first = connected_components(lg.edges, lg.nodes).groupBy(F.col("component").alias("case_id")).agg(F.min("wallet").alias("primary_wallet"))
     return filing.filing_rows(typed_cases(spark, d).join(first, "case_id"))
 
@@ -289,8 +289,8 @@ def rep6(spark, d):
     return filing.layout_values(Derived(spark, d).suspicious, "cluster_id")
 
 
-@query("rep7", select(S(case_id="case_id", valid="NOT (n % 5 = 0 OR n % 7 = 0 OR n % 3 = 0)", errors="""concat_ws('|', CASE WHEN n % 5 = 0 THEN 'TIN must follow EIN format: XX-XXXXXXX' END,
-  CASE WHEN n % 7 = 0 THEN 'Amount must be a positive number' END, CASE WHEN n % 3 = 0 THEN 'Activity end date must be greater than or equal to start date' END)"""),
+@query("rep7", select(S(case_id="case_id", valid="NOT (n % 5 = 0 OR n % 7 = 0 OR n % 3 = 0)", errors="""concat_ws('|', CASE WHEN n % 5 = 0 THEN 'tax number is not two digits, a hyphen and seven digits' END,
+  CASE WHEN n % 7 = 0 THEN 'amount is not above zero' END, CASE WHEN n % 3 = 0 THEN 'last day of activity lies before the first' END)"""),
                       tail="FROM (SELECT *, CAST(floor(amount) AS BIGINT) AS n FROM kase)", **HIGH))
 def rep7(spark, d):
     """Filings damaged by rule: bad tax id, non-positive amount, reversed dates."""

@@ -49,21 +49,24 @@ def build_graph(tx: DataFrame) -> Graph:
     return Graph(edges, metrics.select("wallet"), metrics, g.neighbours(edges))
 
 
-def global_metrics(graph: Graph, mode: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """GRA4: PageRank, betweenness and clustering per node, or zeros above the node cap."""
-    if mode is None:
-        cap = settings.centrality_node_cap
-        mode = "none" if cap > 0 and graph.nodes.count() > cap else "full"
+def global_metrics(graph: Graph, mode: str = "linear") -> DataFrame:
+    """GRA4: PageRank, betweenness and clustering per node, as the caller asks; no size of the graph decides.
+
+    ``linear``: PageRank and clustering, with betweenness 0. ``full``: all three; betweenness
+    costs nodes times edges. ``none``: zeros.
+    """
+    if mode not in ("linear", "full", "none"):
+        raise ValueError(f"unknown mode {mode}")
     if mode == "none":
         return graph.nodes.select("wallet", *[F.lit(0.0).alias(c) for c in GLOBAL_METRICS])
     pr = pagerank(graph.edges, graph.nodes)
-    bt = betweenness(graph.edges, graph.nodes)
+    bt = betweenness(graph.edges, graph.nodes) if mode == "full" else graph.nodes.select("wallet", F.lit(0.0).alias("betweenness"))
     return pr.join(bt, "wallet").join(clustering(graph.edges, graph.nodes), "wallet")
 
 
-def node_features(graph: Graph, mode: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def node_features(graph: Graph, mode: str = "linear", settings: Settings = DEFAULTS) -> DataFrame:
     """AGG4, AGG8-AGG11 and the global metrics in one wallet table."""
-    glob = global_metrics(graph, mode, settings)
+    glob = global_metrics(graph, mode)
     risky = g.risky_nodes(glob, settings.risky_pagerank)
     shares = g.risky_neighbour_shares(graph.neighbours, risky)
     return g.structural_features(graph.metrics, graph.neighbours).join(glob, "wallet", "left").join(shares, "wallet", "left").na.fill(0)
@@ -94,7 +97,7 @@ def wallet_rules(
     structure = g.structural_features(graph.metrics, graph.neighbours)
     ctx = wallet_context(
         profiles, structure.select("wallet", "relay_pattern_score", "unique_counterparties"), shares,
-        ego_cycles(graph.edges), peel_edges(graph.edges, settings.hot_rows), as_of=as_of, enrichment=enrichment,
+        ego_cycles(graph.edges, enough=5), peel_edges(graph.edges, settings.hot_rows), as_of=as_of, enrichment=enrichment,
     )
     return evaluate(ctx, book)
 
@@ -162,12 +165,12 @@ def cluster_tables(scored: DataFrame, flagged: DataFrame, graph: Graph, settings
 
 
 def run_pipeline(
-    tx: DataFrame, settings: Settings = DEFAULTS, as_of: Column | None = None, mode: str | None = None,
+    tx: DataFrame, settings: Settings = DEFAULTS, as_of: Column | None = None, mode: str = "linear",
     communities: str = "louvain", enrichment: DataFrame | None = None, book: RuleBook | None = None,
 ) -> Run:
     """The whole no-model run over cleaned transfers."""
     graph = build_graph(tx)
-    glob = global_metrics(graph, mode, settings)
+    glob = global_metrics(graph, mode)
     shares = g.risky_neighbour_shares(graph.neighbours, g.risky_nodes(glob, settings.risky_pagerank))
     rules = wallet_rules(tx, graph, shares, as_of, enrichment, book, settings)
     if communities == "louvain":
@@ -179,7 +182,7 @@ def run_pipeline(
     return cluster_tables(scored, flagged, graph, settings)
 
 
-def feature_tables(tx: DataFrame, settings: Settings = DEFAULTS, mode: str | None = None) -> dict[str, DataFrame]:
+def feature_tables(tx: DataFrame, settings: Settings = DEFAULTS, mode: str = "linear") -> dict[str, DataFrame]:
     """The four feature tables: transaction, graph, window and combined."""
     graph = build_graph(tx)
     txf = transaction_features(tx, settings)

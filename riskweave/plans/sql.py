@@ -1,8 +1,8 @@
 """Building blocks of the SQL statements the queries are checked against (DuckDB dialect).
 
 Each block is a named common table expression; ``sql`` puts the blocks a statement
-needs, in dependency order, in front of it. Blocks ending in ``_l`` work on the
-high-value transfers, ``w_`` blocks on the trailing 24 hours.
+needs, in dependency order, in front of it. Blocks ending in ``_l`` work on all
+transfers between the wallets of small cells, ``w_`` blocks on the trailing 24 hours.
 """
 
 from __future__ import annotations
@@ -68,11 +68,13 @@ SELECT concat('tx_', event_id) AS transaction_id,
        WHEN event_type IN ('purchase', 'signup') THEN 'licit' END AS label,
   event_id AS ord
 FROM events CROSS JOIN (SELECT count(DISTINCT user_id) AS n FROM events) u""")
-block("tx_l", "SELECT * FROM tx_a WHERE amount >= 15000")
-block("tx_m", "SELECT * FROM tx_a WHERE amount >= 11000")
+block("tx_l", """
+SELECT t.* REPLACE (concat('v', CAST(floor(ord / 20.0) AS BIGINT) * 10 + user_id % 7) AS sender_wallet,
+  concat('v', (CAST(floor(ord / 20.0) AS BIGINT) + CASE WHEN ord % 40 = 0 THEN 1 ELSE 0 END) * 10 + (user_id * 3 + ord) % 7) AS receiver_wallet)
+FROM tx_a t JOIN (SELECT event_id, user_id FROM events) e ON e.event_id = t.ord""")
 block("tx_w", "SELECT * FROM tx_a WHERE timestamp >= (SELECT max(timestamp) FROM tx_a) - INTERVAL 24 HOUR")
 
-for s in ("a", "l", "w", "m"):
+for s in ("a", "l", "w"):
     block(f"ed_{s}", f"""
 SELECT sender_wallet AS src, receiver_wallet AS dst, sum(amount) AS amount, max(timestamp) AS timestamp,
   count(*) AS n_tx, arg_max(transaction_id, ord) AS transaction_id, arg_max(asset_type, ord) AS asset_type

@@ -37,6 +37,19 @@ def transfers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def large_transfers(spark: SparkSession, folder: str, minimum: float = 15000.0) -> DataFrame:
-    """High-value transfers: the sparse view on which components and clusters are non-trivial."""
-    return transfers(spark, folder).where(F.col("amount") >= minimum)
+def cell_transfers(spark: SparkSession, folder: str) -> DataFrame:
+    """All transfers again, between wallets of small cells: a sparse graph of many components.
+
+    Twenty consecutive events share a cell of seven wallets; the first event of every
+    other cell pays into the next one.
+    """
+    t = transfers(spark, folder)
+    user = F.col("sender_wallet").substr(F.lit(2), F.length("sender_wallet")).cast("bigint")
+    cell = F.floor(F.col("ord") / F.lit(20.0)).cast("bigint")
+    into = cell + F.when(F.col("ord") % 40 == 0, 1).otherwise(0)
+    sender = cell * 10 + F.floor(user / F.lit(1000.0)).cast("bigint") % 7
+    receiver = into * 10 + (F.floor(user / F.lit(1000.0)).cast("bigint") * 3 + F.col("ord")) % 7
+    return t.withColumns({
+        "sender_wallet": F.concat(F.lit("v"), sender.cast("string")),
+        "receiver_wallet": F.concat(F.lit("v"), receiver.cast("string")),
+    })
