@@ -12,7 +12,7 @@ from ..operators.ordered import exact_quantile
 from ..session import prepare
 from ..sources import store
 from ..sources import transfers as src
-from ..sources.adapter import cell_transfers, table, transfers
+from ..sources.adapter import large_transfers, table, transfers
 from .catalog import query
 from .sql import D, I, S, T, select, sql
 
@@ -109,7 +109,7 @@ def cln8(spark, d):
     return c.storage_rows(transfers(spark, d))
 
 
-@query("src1")
+@query("src1", select(S(transaction_id="transaction_id", sender_wallet="sender_wallet", receiver_wallet="receiver_wallet"), D(amount="amount", fee="fee"), T(timestamp="date_trunc('millisecond', timestamp)"), tail="FROM tx_a"))
 def src1(spark, d):
     """CSV written and read back with header checks, then typed."""
     path = scratch(spark, "csv")
@@ -133,7 +133,7 @@ def src2(spark, d):
 def labelled_frames(spark, d):
     """Feature, class and edge files in the three-file layout, derived from embeddings and transfers."""
     e = table(spark, d, "embeddings")
-    feats = e.select(F.col("vec_id").cast("string"), (F.col("vec_id") % 49 + 1).cast("string"), *[F.col("embedding")[i].cast("string") for i in range(16)])
+    feats = e.select(F.col("vec_id").cast("string"), (F.col("vec_id") % 49 + 1).cast("string"), *[F.col("embedding")[i].cast("string") for i in range(64)])
     cls = e.select(F.col("vec_id").alias("txId"), F.when(F.col("label") == 0, "1").when(F.col("label") == 1, "2").otherwise("unknown").alias("class"))
     n = e.count()
     edges = transfers(spark, d).select(
@@ -145,7 +145,7 @@ def labelled_frames(spark, d):
 @query("src3", """WITH e AS (SELECT vec_id, embedding, CASE WHEN label = 0 THEN 'illicit' WHEN label = 1 THEN 'licit' END AS label FROM embeddings)
 SELECT CAST(vec_id AS VARCHAR) AS node_id, CAST(vec_id % 49 + 1 AS BIGINT) AS time_step, label,
   epoch_us(TIMESTAMP '2019-01-01' + to_hours(CAST(vec_id % 49 + 1 AS BIGINT))) AS timestamp,
-  round(list_sum(list_transform(embedding[1:16], lambda x: abs(CAST(CAST(x AS VARCHAR) AS DOUBLE)))), 4) + 0.0 AS amount FROM e""")
+  round(list_sum(list_transform(embedding, lambda x: abs(CAST(CAST(x AS VARCHAR) AS DOUBLE)))), 4) + 0.0 AS amount FROM e""")
 def src3(spark, d):
     """Three-file labelled graph written as CSV and read back."""
     base = scratch(spark, "labelled")
@@ -157,12 +157,12 @@ def src3(spark, d):
     return got.withColumn("amount", F.round("amount", 4))
 
 
-@query("src4", select(S(transaction_id="transaction_id"), D(amount="amount"), tail="FROM tx_l"))
+@query("src4", select(S(transaction_id="transaction_id"), D(amount="amount"), tail="FROM tx_h"))
 def src4(spark, d):
     """Two runs in one partitioned table; one is read back by its run id."""
     path = scratch(spark, "runs")
     store.append_run(transfers(spark, d).select("transaction_id", "amount"), path, "all")
-    store.append_run(cell_transfers(spark, d).select("transaction_id", "amount"), path, "large")
+    store.append_run(large_transfers(spark, d).select("transaction_id", "amount"), path, "large")
     return store.read_run(spark, path, "large").select("transaction_id", "amount")
 
 
@@ -178,21 +178,21 @@ def src6(spark, d):
     return src.union_in_order(counts)
 
 
-@query("snk1", select(S(run_id="run_id"), I(n="count(*)"), tail="FROM (SELECT 'first' AS run_id FROM tx_l UNION ALL SELECT 'second' FROM tx_a) GROUP BY 1"))
+@query("snk1", select(S(run_id="run_id"), I(n="count(*)"), tail="FROM (SELECT 'first' AS run_id FROM tx_h UNION ALL SELECT 'second' FROM tx_a) GROUP BY 1"))
 def snk1(spark, d):
     path = scratch(spark, "append")
-    store.append_run(cell_transfers(spark, d), path, "first")
+    store.append_run(large_transfers(spark, d), path, "first")
     store.append_run(transfers(spark, d), path, "second")
     return spark.read.parquet(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk2", select(S(wallet="wallet"), D(score="score"), tail="""FROM (
-  SELECT sender_wallet AS wallet, arg_max(amount, ord) AS score FROM tx_l GROUP BY 1
-  UNION ALL SELECT sender_wallet, max(fee) FROM tx_a WHERE sender_wallet NOT IN (SELECT sender_wallet FROM tx_l) GROUP BY 1)"""))
+  SELECT sender_wallet AS wallet, arg_max(amount, ord) AS score FROM tx_h GROUP BY 1
+  UNION ALL SELECT sender_wallet, max(fee) FROM tx_a WHERE sender_wallet NOT IN (SELECT sender_wallet FROM tx_h) GROUP BY 1)"""))
 def snk2(spark, d):
     """A stored score per wallet replaced by the last new one where there is one."""
     old = transfers(spark, d).groupBy(F.col("sender_wallet").alias("wallet")).agg(F.max("fee").alias("score"))
-    new = cell_transfers(spark, d).select(F.col("sender_wallet").alias("wallet"), F.col("amount").alias("score"), "ord")
+    new = large_transfers(spark, d).select(F.col("sender_wallet").alias("wallet"), F.col("amount").alias("score"), "ord")
     return store.upsert(old, new, ["wallet"], ["ord"]).select("wallet", "score")
 
 

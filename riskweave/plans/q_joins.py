@@ -10,7 +10,7 @@ from ..operators.selection import high_risk_wallets, touched_wallets
 from ..operators.tx_features import transaction_features
 from ..operators.window24 import velocity
 from ..sources import transfers as src
-from ..sources.adapter import cell_transfers, table, transfers
+from ..sources.adapter import cell_transfers, large_transfers, table, transfers
 from .catalog import query
 from .q_scalars import LEVEL, SCORE, derived_score
 from .scoring import build_graph, combined_features, node_features
@@ -77,19 +77,19 @@ def joi3(spark, d):
     return paging.filtered(transfers(spark, d), scores(spark, d), None, 0.9).select("transaction_id", "meta_score", "amount")
 
 
-@query("joi5", select(S(wallet="w.wallet"), D(total_out="w.total_out", score="s.m"), tail=f"""FROM pf_a w LEFT JOIN (
-SELECT sender_wallet, max(meta_score) m FROM {SC} WHERE amount > 10000 GROUP BY 1) s ON s.sender_wallet = w.wallet WHERE w.total_out > 50000"""))
+@query("joi5", select(S(wallet="w.wallet"), D(total_out="w.total_out", score="s.m"), tail=f"""FROM pf_l w LEFT JOIN (
+SELECT sender_wallet, max(meta_score) m FROM {SC} GROUP BY 1) s ON s.sender_wallet = w.wallet"""))
 def joi5(spark, d):
     """Wallets with their stored score where there is one."""
-    w = g.wallet_totals(transfers(spark, d)).where(F.col("total_out") > 50000)
-    s = scored(spark, d).where(F.col("amount") > 10000).groupBy(F.col("sender_wallet").alias("wallet")).agg(F.max("meta_score").alias("score"))
+    w = g.wallet_totals(cell_transfers(spark, d))
+    s = scored(spark, d).groupBy(F.col("sender_wallet").alias("wallet")).agg(F.max("meta_score").alias("score"))
     return w.join(s, "wallet", "left").select("wallet", "total_out", "score")
 
 
-@query("joi6", select(S(transaction_id="transaction_id"), D(meta_score="meta_score"), tail=f"FROM {SC} WHERE transaction_id IN (SELECT transaction_id FROM tx_l)"))
+@query("joi6", select(S(transaction_id="transaction_id"), D(meta_score="meta_score"), tail=f"FROM {SC} WHERE transaction_id IN (SELECT transaction_id FROM tx_h)"))
 def joi6(spark, d):
     """Batch score lookup for a set of ids."""
-    return scores(spark, d).join(cell_transfers(spark, d).select("transaction_id"), "transaction_id", "left_semi").select("transaction_id", "meta_score")
+    return scores(spark, d).join(large_transfers(spark, d).select("transaction_id"), "transaction_id", "left_semi").select("transaction_id", "meta_score")
 
 
 @query("joi8", sql("SELECT x.src AS w, count(DISTINCT p.dst) AS shared_children FROM ed_l x JOIN ed_l y ON y.src = x.src AND y.dst <> x.dst JOIN ed_l p ON p.src = x.dst JOIN ed_l q ON q.src = y.dst AND q.dst = p.dst GROUP BY 1"))
@@ -146,22 +146,25 @@ def joi13(spark, d):
     return src.representative_edges(labelled_nodes(spark, d), e).select("transaction_id", "sender_wallet", "receiver_wallet", "label", "amount")
 
 
-@query("joi14", sql("SELECT p_brand AS cluster_id, count(*) AS report_parts, any_value(live.n) AS live_lines FROM part LEFT JOIN (SELECT p_brand b, count(*) n FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 45 GROUP BY 1) live ON live.b = p_brand GROUP BY 1"))
+@query("joi14", sql("SELECT p_brand AS cluster_id, count(*) AS report_parts, any_value(live.n) AS live_lines FROM part LEFT JOIN (SELECT p_brand b, count(*) n FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1) live ON live.b = p_brand GROUP BY 1"))
 def joi14(spark, d):
     """Reported groups next to their live rows by id."""
     p = table(spark, d, "part")
     report = p.groupBy(F.col("p_brand").alias("cluster_id")).agg(F.count(F.lit(1)).alias("report_parts"))
-    live = table(spark, d, "lineitem").where(F.col("l_quantity") > 45).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    live = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     return report.join(live.groupBy(F.col("p_brand").alias("cluster_id")).agg(F.count(F.lit(1)).alias("live_lines")), "cluster_id", "left")
 
 
-@query("fil6", sql("""SELECT 'edges' AS part, count(*) AS n FROM ed_a WHERE src IN (SELECT wallet FROM nd_l) AND dst IN (SELECT wallet FROM nd_l)
-UNION ALL SELECT 'features', count(*) FROM tx_a WHERE sender_wallet IN (SELECT wallet FROM nd_l)
-UNION ALL SELECT 'labels', count(DISTINCT sender_wallet) FROM tx_a WHERE label IS NOT NULL AND sender_wallet IN (SELECT wallet FROM nd_l)"""))
+LARGE_WALLETS = "(SELECT sender_wallet FROM tx_h WHERE sender_wallet <> receiver_wallet UNION SELECT receiver_wallet FROM tx_h WHERE sender_wallet <> receiver_wallet)"
+
+
+@query("fil6", sql(f"""SELECT 'edges' AS part, count(*) AS n FROM ed_a WHERE src IN {LARGE_WALLETS} AND dst IN {LARGE_WALLETS}
+UNION ALL SELECT 'features', count(*) FROM tx_a WHERE sender_wallet IN {LARGE_WALLETS}
+UNION ALL SELECT 'labels', count(DISTINCT sender_wallet) FROM tx_a WHERE label IS NOT NULL AND sender_wallet IN {LARGE_WALLETS}"""))
 def fil6(spark, d):
-    """Edges, features and labels restricted to the wallets of the cell graph."""
+    """Edges, features and labels restricted to the wallets of large transfers."""
     t = transfers(spark, d)
-    keep = g.nodes_of(g.wallet_edges(cell_transfers(spark, d)))
+    keep = g.nodes_of(g.wallet_edges(large_transfers(spark, d)))
     labels = t.where(F.col("label").isNotNull()).select(F.col("sender_wallet").alias("wallet")).distinct()
     parts = training.subset(g.wallet_edges(t), t, labels, keep)
     return src.union_in_order([df.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("n")) for n, df in parts.items()])

@@ -2,7 +2,7 @@
 
 Each block is a named common table expression; ``sql`` puts the blocks a statement
 needs, in dependency order, in front of it. Blocks ending in ``_l`` work on all
-transfers between the wallets of small cells, ``w_`` blocks on the trailing 24 hours.
+transfers between the wallets of small cells, ``w_`` blocks on the trailing 24 hours; ``tx_h`` has the large transfers.
 """
 
 from __future__ import annotations
@@ -68,6 +68,7 @@ SELECT concat('tx_', event_id) AS transaction_id,
        WHEN event_type IN ('purchase', 'signup') THEN 'licit' END AS label,
   event_id AS ord
 FROM events CROSS JOIN (SELECT count(DISTINCT user_id) AS n FROM events) u""")
+block("tx_h", "SELECT * FROM tx_a WHERE amount >= 15000")
 block("tx_l", """
 SELECT t.* REPLACE (concat('v', CAST(floor(ord / 20.0) AS BIGINT) * 10 + user_id % 7) AS sender_wallet,
   concat('v', (CAST(floor(ord / 20.0) AS BIGINT) + CASE WHEN ord % 40 = 0 THEN 1 ELSE 0 END) * 10 + (user_id * 3 + ord) % 7) AS receiver_wallet)

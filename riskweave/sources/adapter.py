@@ -37,6 +37,11 @@ def transfers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def large_transfers(spark: SparkSession, folder: str) -> DataFrame:
+    """Transfers of 15,000 and more: a second, smaller table for upserts, appends and lookups."""
+    return transfers(spark, folder).where(F.col("amount") >= 15000)
+
+
 def cell_transfers(spark: SparkSession, folder: str) -> DataFrame:
     """All transfers again, between wallets of small cells: a sparse graph of many components.
 
