@@ -60,10 +60,9 @@ class RuleBook:
         from .expressions import standard_rules
 
         book = cls()
-        for line in RULE_TABLE.strip().splitlines():
-            number, name, tags, needs, offchain = line.split("|")
-            env = next(e for last, e in ENVIRONMENT_BLOCKS if int(number) <= last)
-            book._add(RuleInfo(int(number), name, env, _split(tags), _split(needs), _split(offchain)))
+        for number, name, tags, needs, offchain in RULE_TABLE:
+            env = next(e for last, e in ENVIRONMENT_BLOCKS if number <= last)
+            book._add(RuleInfo(number, name, env, _split(tags), _split(needs), _split(offchain)))
         book.logic.update(standard_rules())
         return book
 
