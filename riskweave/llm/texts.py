@@ -33,7 +33,7 @@ class Words:
         return d.indices.to_numpy(), d.dictionary.to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most ``most`` bytes of text, or one text."""
     for batch in batches:
         if not batch.num_rows:
