@@ -94,7 +94,8 @@ def estimated(less: np.ndarray, more: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     """Likeliest similarity, on a grid from 0.5, given how many registers are below and above and both sizes.
 
     The chances of a register being below, above or equal follow from the similarity and the
-    relative sizes; the joint likelihood of the three counts is maximised.
+    relative sizes; the joint likelihood of the three counts is maximised, up to the largest similarity that
+    the sizes allow.
     """
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
@@ -103,4 +104,4 @@ def estimated(less: np.ndarray, more: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     equal = np.clip(1 - up - down, 1e-9, 1)
     log = lambda x: np.log(np.maximum(x, 1e-9))
     score = more[:, None] * log(up) + less[:, None] * log(down) + (M - less - more)[:, None] * log(equal)
-    return GRID[np.argmax(score, axis=1)]
+    return np.minimum(GRID[np.argmax(score, axis=1)], np.minimum(n_a, n_b) / np.maximum(n_a, n_b))
