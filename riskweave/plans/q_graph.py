@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Settings
 from ..operators import clusters as cl
 from ..operators import graph as g
 from ..operators import khop
