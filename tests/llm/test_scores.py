@@ -158,3 +158,12 @@ def test_quality_of_odd_tables(odd, none, labels, get):
     assert get(quality.good(none, w)) == []
     assert len(get(quality.good(odd, quality.train(odd, labels.limit(0))))) <= odd.count()
     assert quality.features(pa.array([prose(1, 50), "go go go go go go go go", None])).shape == (3, 6)
+
+
+def test_language_model_scores_depend_on_the_word_before(spark):
+    texts = ["we see red then blue", "red then blue we see", "see we blue red then"] * 2
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["we see red then blue"] * 60 + texts)], "doc_id long, text string, lang string")
+    got = {r.id: r for r in lm.scored(docs, F.col("id") < 60).collect()}
+    straight, turned, mixed = (got[60 + i] for i in range(3))
+    assert math.isclose(straight.base_score, mixed.base_score, rel_tol=1e-9) and straight.n_known == mixed.n_known == 6
+    assert straight.score > turned.score + 1 > mixed.score + 2 and all(math.isclose(got[63 + i].score, got[60 + i].score, rel_tol=1e-6) for i in range(3))
