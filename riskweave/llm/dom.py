@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -168,6 +169,11 @@ def features(nodes: list[Node], n_blocks: int, plain: bool = False) -> np.ndarra
     total = max(1, nodes[0].size)
     out = np.zeros((len(nodes), N_FEATURES))
     base = len(GROUPS) + BUCKETS
+    place, same = np.zeros(len(nodes)), np.ones(len(nodes), int)
+    for node in nodes:
+        tags = Counter(nodes[c].tag for c in node.children)
+        for k, c in enumerate(node.children):
+            place[c], same[c] = k / len(node.children), tags[nodes[c].tag]
     for i, node in enumerate(nodes):
         group = GROUP_OF.get(node.tag, node.tag)
         if plain and group not in ("p", "h", "list", "li", "body", "table"):
@@ -178,12 +184,11 @@ def features(nodes: list[Node], n_blocks: int, plain: bool = False) -> np.ndarra
             for t in node.tokens:
                 out[i, len(GROUPS) + zlib.crc32(t.encode()) % BUCKETS] = 1
         p = node.parent
-        kin = p.children if p else [0]
         out[i, base:] = (
             node.depth,
-            kin.index(i) / len(kin) if len(kin) < 200 else 0.5,
-            len(kin),
-            sum(nodes[c].tag == node.tag for c in kin[:200]),
+            place[i],
+            len(p.children) if p else 1,
+            same[i],
             np.log1p(node.size),
             node.size / total,
             node.size / max(1, p.size) if p else 1,

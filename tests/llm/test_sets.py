@@ -175,6 +175,15 @@ def test_parser_blocks():
         dom.features(dom.parse(broken)[0], 1)
 
 
+def test_sibling_features_of_many_children():
+    nodes, blocks = dom.parse("<body>" + "<p>a" * 300 + "<div>b</div>" * 2)
+    body = next(i for i, n in enumerate(nodes) if n.tag == "body")
+    kin = nodes[body].children
+    x = dom.features(nodes, len(blocks))[:, len(dom.GROUPS) + dom.BUCKETS :]
+    assert len(kin) == 302 and np.allclose(x[kin, 1], np.arange(302) / 302) and (x[kin, 2] == 302).all()
+    assert x[kin, 3].tolist() == [300] * 300 + [2] * 2 and x[0, 1:4].tolist() == [0, 1, 1]
+
+
 def test_decoding_never_keeps_below_rejected():
     r = np.random.default_rng(1)
     nodes, _ = dom.parse("<div>" * 4 + "t" + "</div><div><p>a<p>b</div>" * 3)
