@@ -167,3 +167,13 @@ def test_language_model_scores_depend_on_the_word_before(spark):
     straight, turned, mixed = (got[60 + i] for i in range(3))
     assert math.isclose(straight.base_score, mixed.base_score, rel_tol=1e-9) and straight.n_known == mixed.n_known == 6
     assert straight.score > turned.score + 1 > mixed.score + 2 and all(math.isclose(got[63 + i].score, got[60 + i].score, rel_tol=1e-6) for i in range(3))
+
+
+def test_every_language_has_its_own_restaurant(spark):
+    langs = "abcdef"
+    rows = [(100 * i + j, " ".join(f"{z}{(7 * j + m * m) % 40}" for m in range(12)), z) for i, z in enumerate(langs) for j in range(90)]
+    rows += [(1000 + i, " ".join(f"q{m} {z}{m % 9}" for m in range(40)), z) for i, z in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    got = {r.id: r.score for r in lm.scored(docs, F.col("id") < 1000).collect()}
+    last = [got[1000 + i] for i in range(len(langs))]
+    assert max(last) - min(last) < 6, last
