@@ -48,17 +48,45 @@ class Trees:
         return 1 / (1 + np.exp(-2 * total))
 
 
-def train(pages: DataFrame, *, most: int = 400, most_bytes: int = 65536, rounds: int = 15, depth: int = 4, id: str = "page_id", html: str = "html") -> Trees:
-    """Fits on at most ``most`` pages of at most ``most_bytes`` bytes, by hash of their ids.
+class Density:
+    """Probabilities where no page can be learned from: long blocks of text with few links are wanted, and headings without links."""
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        base = len(dom.GROUPS) + dom.BUCKETS
+        link, length = (x[:, base + dom.NUMERIC.index(name)] for name in ("link_share", "words_per_block"))
+        length = np.where(x[:, dom.GROUPS.index("h")] == 1, np.maximum(length, 20), np.minimum(length, 60))
+        return 1 / (1 + np.exp(1.2 - length / 10 + 6 * link))
+
+
+def train(pages: DataFrame, *, most: int = 400, most_bytes: int = 65536, rounds: int = 15, depth: int = 4, id: str = "page_id", html: str = "html") -> Trees | Density:
+    """Fits on at most ``most`` pages of at most ``most_bytes`` bytes that have wanted elements, by hash of their ids.
 
     No page comes with its main text, so the labels are weak: elements inside ``article`` or
     ``main`` are wanted, those outside and the marked ones inside aren't. Every page is
     seen twice, the second time with its tags and attributes made plain, so that density,
-    depth and sibling statistics must decide where markup doesn't tell. Pages without such elements are left out.
+    depth and sibling statistics must decide where markup doesn't tell. Pages without such elements are left out, and others looked
+    at in their place until ``most`` are found or all pages were seen. If none has any, the result is ``Density``.
     """
     rows = inner_names(pages, {"id": id, "h": html}).where((F.octet_length("h") <= most_bytes) & F.col("id").isNotNull())
-    chosen = written(rows.select("id").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(most).withColumnRenamed("id", "chosen"))
-    sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).select("h")
+    likely = rows.where(F.col("h").rlike("(?i)<(article|main)"))
+    order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = [dom.weak_labels(dom.parse(page)[0]) for page in batch.column("h").to_pylist()]
+            yield batch.select(["id"]).filter(pa.array([y is not None and bool(y.any()) for y in labels], pa.bool_()))
+
+    tried = most
+    while True:
+        first = written(likely.select("id").distinct().orderBy(*order).limit(tried).withColumnRenamed("id", "first"))
+        some = likely.join(first, F.col("id") == F.col("first")).select("id", "h")
+        chosen = written(in_arrow(some, marked, f"id {rows.schema['id'].dataType.simpleString()}", 200).distinct().orderBy(*order).limit(most).withColumnRenamed("id", "chosen"))
+        if chosen.count() >= most or first.count() < tried:
+            break
+        tried *= 8
+    if not chosen.count():
+        return Density()
+    sample = likely.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).select("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,12 +102,10 @@ def train(pages: DataFrame, *, most: int = 400, most_bytes: int = 65536, rounds:
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.float64())], ["x", "label"])
 
     data = written(in_arrow(sample, run, "x array<double>, label double", 200)).select(array_to_vector("x").alias("features"), "label").coalesce(1)
-    if data.select("label").distinct().count() < 2:
-        raise ValueError("no page of the sample has an article or main element to learn from")
     return Trees(GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=7).fit(data))
 
 
-def extract(pages: DataFrame, trees: Trees, *, id: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+def extract(pages: DataFrame, trees: Trees | Density, *, id: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """(id, url, text, n_chars) per page: the blocks of the elements kept, in page order, one per line.
 
     Every element of the whole page is scored and the tree decoded so that choices agree along

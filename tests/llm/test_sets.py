@@ -224,6 +224,20 @@ def test_extraction(spark, get):
     assert get(extraction.extract(pages.limit(0), trees)) == []
 
 
+def test_training_pages_are_rare_or_none(spark, get):
+    long = " ".join(f"Sentence {i} of the story, told at length." for i in range(30))
+    body = "<div class=x><a href=/a>Home</a></div><%s><h1>Head</h1><p>" + long + "</p></%s><div class=y><a href=/b>More</a></div>"
+    schema = "page_id long, url string, html string"
+    plain = [(i, "u", PAGE % (body % ("div", "div"))) for i in range(60)]
+    trees = extraction.train(spark.createDataFrame(plain + [(i, "u", PAGE % (body % ("article", "article"))) for i in (97, 98, 99)] + [(96, "u", "<!--<article>--><p>a")], schema), most=2, rounds=2)
+    assert isinstance(trees, extraction.Trees)
+    pages = spark.createDataFrame(plain[:2] + [(70, "u", "<!--<main>--><p>a")], schema)
+    none = extraction.train(pages)
+    got = {r["id"]: r["text"] for r in get(extraction.extract(pages, none))}
+    assert got == {0: f"Head\n{long}", 1: f"Head\n{long}", 70: ""}
+    assert get(extraction.extract(pages.limit(0), extraction.train(pages.limit(0)))) == []
+
+
 @pytest.mark.parametrize("name", ["op2_mix", "op5_decontaminate"])
 def test_query_matches_sql(spark, name):
     from riskweave.llm import queries
