@@ -30,12 +30,14 @@ def modularity(sym: DataFrame, part: DataFrame) -> float:
 
 
 def _moves(sym: DataFrame, passes: int) -> DataFrame:
-    """Local moves on one level; in each pass a hashed half of the nodes may move."""
+    """Local moves on one level until no node gains by one; in each pass a hashed share of the nodes may move.
+
+    The share is half at first and falls with the passes, so that neighbours that keep following each other part.
+    """
     degree = sym.groupBy("u").agg(F.sum("w").alias("k"))
     total = sym.agg(F.sum("w")).first()[0]
     part = cut_lineage(degree.select("u", "k", F.col("u").alias("c")))
     links = sym.where(F.col("u") != F.col("v"))
-    quiet = 0
     for p in range(passes):
         tot = part.groupBy("c").agg(F.sum("k").alias("tot"))
         near = part.select(F.col("u").alias("v"), F.col("c"))
@@ -50,19 +52,21 @@ def _moves(sym: DataFrame, passes: int) -> DataFrame:
             F.min(F.struct((-gain).alias("g"), stay.alias("s"), F.col("c").alias("c"))).alias("b"),
             F.first("c0").alias("c0"), F.first("k").alias("k"),
         )
-        turn = F.pmod(F.xxhash64(F.col("u"), F.lit(p)), F.lit(2)) == 0
+        turn = F.pmod(F.xxhash64(F.col("u"), F.lit(p)), F.lit(2 + p // 8)) == 0
         part = cut_lineage(best.select("u", "k", F.when(turn, F.col("b.c")).otherwise(F.col("c0")).alias("c"),
-                                       (turn & (F.col("b.c") != F.col("c0"))).alias("moved")))
-        moved, n = part.agg(F.count_if("moved"), F.count(F.lit(1))).first()
-        part = part.drop("moved")
-        quiet = quiet + 1 if moved <= n // 50 else 0
-        if quiet >= 2 or moved == 0 and p > 0:
-            break
-    return part.select("u", "c")
+                                       (F.col("b.c") != F.col("c0")).alias("gains")))
+        gains = part.agg(F.count_if("gains")).first()[0]
+        part = part.drop("gains")
+        if not gains:
+            return part.select("u", "c")
+    raise RuntimeError(f"communities did not settle in {passes} passes")
+
 
+def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 60, passes: int = 400) -> DataFrame:
+    """GRA15: ``(wallet, community)``, deterministic; a community is named after its smallest member.
 
-def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 4, passes: int = 6) -> DataFrame:
-    """GRA15: ``(wallet, community)``, deterministic; a community is named after its smallest member."""
+    Passes run until no node gains by a move, levels until modularity no longer rises; more than ``passes`` or ``levels`` raise.
+    """
     sym = cut_lineage(undirected(edges))
     base = nodes.select(F.col("wallet").alias("u")).distinct()
     if sym.isEmpty():
@@ -74,18 +78,20 @@ def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 4, passes: int = 6
         step = moved.select(F.col("u").alias("c"), F.col("c").alias("c2"))
         part = cut_lineage(best.join(step, "c", "left").select("u", F.coalesce("c2", "c").alias("c")))
         q = modularity(sym, part)
-        if q <= best_q + 1e-6:
+        if q <= best_q + 1e-12:
             break
         best, best_q = part, q
         cu, cv = moved.toDF("u", "cu"), moved.toDF("v", "cv")
         level_sym = cut_lineage(
             level_sym.join(cu, "u").join(cv, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
         )
+    else:
+        raise RuntimeError(f"communities did not settle in {levels} levels")
     names = best.groupBy("c").agg(F.min("u").alias("community"))
     return best.join(names, "c").select(F.col("u").alias("wallet"), "community")
 
 
-def leiden(edges: DataFrame, nodes: DataFrame, levels: int = 4, passes: int = 6) -> DataFrame:
+def leiden(edges: DataFrame, nodes: DataFrame, levels: int = 60, passes: int = 400) -> DataFrame:
     """GRA16: the same communities, each split into its connected parts."""
     part = cut_lineage(louvain(edges, nodes, levels, passes))
     s = part.select(F.col("wallet").alias("src"), F.col("community").alias("cs"))

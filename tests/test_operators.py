@@ -11,7 +11,7 @@ from riskweave.functions import risk, text
 from riskweave.functions.typology_names import label_of_rule, normalise_truth, truth_columns
 from riskweave.operators import cleaning, clusters, cycles, filing, graph, typology
 from riskweave.operators.betweenness import betweenness
-from riskweave.operators.communities import leiden, louvain, modularity, undirected
+from riskweave.operators.communities import _moves, leiden, louvain, modularity, undirected
 from riskweave.operators.components import connected_components
 from riskweave.operators.ordered import exact_quantile, group_median, ordered_scan
 from riskweave.operators.pagerank import pagerank
@@ -173,6 +173,24 @@ def test_communities_cover_nodes(spark):
     assert modularity(undirected(e), spark.createDataFrame([(w, c) for w, c in part.items()], "u string, c string")) > 0.3
 
 
+def test_local_moves_end_when_no_node_gains(spark):
+    sym = undirected(edges(spark, random_pairs(150, 300, 3))).persist()
+    part = {r.u: r.c for r in _moves(sym, 400).collect()}
+    near, total = {}, 0
+    for r in sym.collect():
+        near.setdefault(r.u, []).append(r.v)
+        total += 1
+    volume = {}
+    for u, c in part.items():
+        volume[c] = volume.get(c, 0) + len(near[u])
+    for u, c in part.items():
+        k = len(near[u])
+        gain = {x: sum(part[v] == x for v in near[u]) - k * (volume[x] - (k if x == c else 0)) / total for x in {c, *(part[v] for v in near[u])}}
+        assert gain[c] >= max(gain.values()) - 1e-8
+    with pytest.raises(RuntimeError):
+        _moves(sym, 1)
+
+
 @pytest.mark.parametrize(
     "pairs, want",
     [
