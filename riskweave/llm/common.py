@@ -13,6 +13,8 @@ from ..session import cut_lineage
 SPACE = r"\x20\x09-\x0D"
 #: A word is a longest run of anything else.
 WORD = rf"[^{SPACE}]+"
+#: Bytes at which an Arrow batch on its way to Python is closed.
+BATCH_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,11 +28,12 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def in_arrow(df: DataFrame, run, schema: str, rows: int = 1000) -> DataFrame:
-    """``mapInArrow`` with batches of few enough rows that long texts don't fill a worker.
+    """``mapInArrow`` with batches of at most ``rows`` rows and ``BATCH_BYTES`` of data, so that long texts don't fill a worker.
 
-    The size is a setting of the session, read when the plan runs: one plan has one size, the last one set.
+    Both are settings of the session, read when the plan runs: a later call may change the rows, never the bytes.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

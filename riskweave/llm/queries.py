@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, extraction, lm, mixing, neardup, neighbours, quality, sharding, statements, tokens, toxicity
+from . import conversations, decontaminate, extraction, lm, mixing, neardup, neighbours, quality, search, sharding, statements, tokens, toxicity, urls
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,29 @@ def op10_shard(spark, d):
     """All documents with shard, slot, and the shard if there were one more."""
     rows = sharding.shard(table(spark, d, "documents"))
     return sharding.with_slots(rows.select("doc_id", "size", "text_crc32", "law", "shard", "grown_shard"))
+
+
+@query("op11_trie", statements.CONVERSATIONS)
+def op11_trie(spark, d):
+    """Every node of the conversations' prefixes; up to three first turns are those of the conversation that begins a score of ids."""
+    turns = conversations.sequenced(table(spark, d, "conversations"))
+    c = F.col("conv")
+    base, heads = c - c % 20, F.crc32(c.cast("string").cast("binary")) % 4
+    return conversations.prefix_trie(*conversations.joined_heads(turns, base, heads, 3))
+
+
+@query("op12_search", statements.SEARCH)
+def op12_search(spark, d):
+    """The ten highest-scoring documents of each benchmark item."""
+    got = search.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return got.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+#: The entries of the query's contract.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op13_urls", statements.URLS)
+def op13_urls(spark, d):
+    """The verdict on every page's url."""
+    return urls.judged(table(spark, d, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
