@@ -1,12 +1,22 @@
-"""Community detection by modularity: synchronous local moves, then contraction."""
+"""Communities by modularity (Louvain, Leiden): whole components inside tasks, giant ones by grouped moves.
+
+Components don't compete for anything but the total weight, so a component of bounded size is settled in one go in
+the task that reads it. Larger ones move in passes: communities whose nodes want to move between them meet in one group, a
+group makes as many moves as gain, and groups share no community, so every pass raises modularity exactly as planned.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import connected_components
+from .grouped import MOST_LINKS, by_group
+
+EPS = 1e-9
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -29,72 +39,307 @@ def modularity(sym: DataFrame, part: DataFrame) -> float:
     return by.agg(F.sum(F.col("i") / total - F.pow(F.col("k") / total, 2))).first()[0]
 
 
-def _moves(sym: DataFrame, passes: int) -> DataFrame:
-    """Local moves on one level until no node gains by one; in each pass a hashed share of the nodes may move.
+def gaining(sym: DataFrame, part: DataFrame, total: float) -> DataFrame:
+    """(u, k, c0, c1, gain): nodes that gain by moving to a neighbouring community, with the best one."""
+    degree = sym.groupBy("u").agg(F.sum("w").alias("k"))
+    own = part.join(degree, "u").select("u", F.col("c").alias("c0"), "k")
+    tot = own.groupBy(F.col("c0").alias("c")).agg(F.sum("k").alias("tot"))
+    near = part.select(F.col("u").alias("v"), "c")
+    pull = sym.where(F.col("u") != F.col("v")).join(near, "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+    options = pull.unionByName(own.select("u", F.col("c0").alias("c"), F.lit(0.0).alias("w")))
+    options = options.groupBy("u", "c").agg(F.sum("w").alias("w")).join(own, "u").join(tot, "c")
+    stays = F.col("c") == F.col("c0")
+    gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / total
+    best = options.withColumns({"g": gain, "stays": stays}).groupBy("u").agg(
+        F.max(F.when(F.col("stays"), F.col("g"))).alias("g0"), F.min(F.struct((-F.col("g")).alias("g"), (~F.col("stays")).alias("m"), "c")).alias("b"),
+        F.first("c0").alias("c0"), F.first("k").alias("k"),
+    )
+    more = -F.col("b.g") - F.col("g0")
+    return best.where(F.col("b.m") & (more > EPS)).select("u", "k", "c0", F.col("b.c").alias("c1"), more.alias("gain"))
+
+
+# ---- inside a task -------------------------------------------------------------------------------------------
+
+Links = dict[str, dict[str, float]]
+
 
-    The share is half at first and falls with the passes, so that neighbours that keep following each other part.
+def settle(links: Links, k: dict, part: dict, tot: dict, total: float, fixed: Links | None = None) -> bool:
+    """Moves nodes between neighbouring communities until none gains; says whether any moved.
+
+    ``fixed`` holds a node's pull to communities by nodes that don't move. A node whose neighbour moved is looked at again.
     """
+    waiting, inside, moved = deque(sorted(links)), set(links), False
+    while waiting:
+        u = waiting.popleft()
+        inside.discard(u)
+        pull: dict[str, float] = defaultdict(float, fixed.get(u, {}) if fixed else {})
+        for v, w in links[u].items():
+            pull[part[v]] += w
+        old = part[u]
+        tot[old] -= k[u]
+        best, most = old, pull.get(old, 0.0) - k[u] * tot[old] / total
+        for c in sorted(pull):
+            gain = pull[c] - k[u] * tot[c] / total
+            if gain > most + EPS:
+                best, most = c, gain
+        tot[best] += k[u]
+        if best != old:
+            part[u], moved = best, True
+            for v in links[u]:
+                if part[v] != best and v not in inside:
+                    inside.add(v)
+                    waiting.append(v)
+    return moved
+
+
+def _totals(k: dict, part: dict) -> dict:
+    tot: dict = defaultdict(float)
+    for u, c in part.items():
+        tot[c] += k[u]
+    return tot
+
+
+def refined(links: Links, k: dict, part: dict, total: float) -> dict:
+    """Leiden's refinement: nodes alone join well connected parts inside their community, if modularity gains."""
+    sub, size = {u: u for u in links}, dict(k)
+    community = _totals(k, part)
+    inner = {u: {v: w for v, w in links[u].items() if part[v] == part[u]} for u in links}
+    reach = {u: sum(inner[u].values()) for u in links}  # weight from a part to the rest of its community
+    alone = set(links)
+    for u in sorted(links, key=lambda x: (-k[x], x)):
+        whole = community[part[u]]
+        if u not in alone or reach[u] < k[u] * (whole - k[u]) / total:
+            continue
+        pull: dict = defaultdict(float)
+        for v, w in inner[u].items():
+            pull[sub[v]] += w
+        fits = [(pull[s] - k[u] * size[s] / total, s) for s in sorted(pull) if reach[s] >= size[s] * (whole - size[s]) / total]
+        gain, s = max(fits, key=lambda x: x[0], default=(0.0, u))
+        if gain > EPS:
+            sub[u] = s
+            alone -= {u, s}
+            size[s] += k[u]
+            reach[s] += reach[u] - 2 * pull[s]
+    return sub
+
+
+def split(links: Links, part: dict) -> dict:
+    """Each community's connected pieces, each named after its smallest node."""
+    name: dict = {}
+    for start in sorted(links):
+        if start not in name:
+            name[start], stack = start, [start]
+            while stack:
+                for v in links[stack.pop()]:
+                    if v not in name and part[v] == part[start]:
+                        name[v] = start
+                        stack.append(v)
+    return name
+
+
+def solve(links: Links, total: float, refine: bool) -> dict:
+    """Communities of one component: local moves, contraction of the parts, until nothing joins; then nodes again, until none gains."""
+    k = {u: sum(near.values()) for u, near in links.items()}
+    flat = {u: u for u in links}
+    here, weight, part = links, dict(k), {u: u for u in links}
+    while True:
+        settle(here, weight, part, _totals(weight, part), total)
+        sub = refined(here, weight, part, total) if refine else part
+        if len(set(sub.values())) == len(here):
+            break
+        up: Links = defaultdict(lambda: defaultdict(float))
+        mass: dict = defaultdict(float)
+        for u, near in here.items():
+            mass[sub[u]] += weight[u]
+            up[sub[u]]  # noqa: B018 - a part without links to others stays a node
+            for v, w in near.items():
+                if sub[v] != sub[u]:
+                    up[sub[u]][sub[v]] += w
+        part = {sub[u]: part[u] for u in here} if refine else {s: s for s in mass}
+        flat = {u: sub[s] for u, s in flat.items()}
+        here, weight = dict(up), dict(mass)
+    out = split(links, {u: part[s] for u, s in flat.items()})
+    while settle(links, k, out, _totals(k, out), total):
+        out = split(links, out)
+    return out
+
+
+# ---- over tasks ----------------------------------------------------------------------------------------------
+
+
+def _components_settled(sym: DataFrame, comp: DataFrame, total: float, refine: bool) -> DataFrame:
+    """(u, c) for all nodes of ``sym`` whose components are given by ``comp(u, g)``."""
+
+    def run(rows):
+        links: Links = defaultdict(dict)
+        for u, v, w in rows:
+            links[u][v] = w
+        yield from solve(dict(links), total, refine).items()
+
+    return by_group(sym.join(comp, "u").select("g", "u", "v", "w"), "u string, c string", ["u", "c"], run)
+
+
+def _groups(active: DataFrame, most: int, turn: int) -> DataFrame:
+    """(c, g): communities grouped along the strongest wish of each; a group of too many movable nodes is dealt over passes.
+
+    Wishes between two communities count both ways and are ordered strictly, so following every community's strongest one ends in
+    a pair that chose each other. Chains longer than eight wait for the next pass.
+    """
+    pair = active.groupBy(F.least("c0", "c1").alias("a"), F.greatest("c0", "c1").alias("b")).agg(F.sum("gain").alias("s"), F.count(F.lit(1)).alias("n"))
+    pair = cut_lineage(pair.withColumn("s", F.round("s", 9)))
+    both = pair.select(F.col("a").alias("c"), F.col("b").alias("to"), "s", "a", "b").unionByName(pair.select(F.col("b").alias("c"), F.col("a").alias("to"), "s", "a", "b"))
+    first = both.groupBy("c").agg(F.max_by("to", F.struct("s", "a", "b")).alias("to"))
+    back = first.select(F.col("c").alias("to"), F.col("to").alias("back"))
+    step = cut_lineage(first.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to")))
+    for _ in range(3):
+        step = step.join(step.select(F.col("c").alias("to"), F.col("to").alias("next")), "to").select("c", F.col("next").alias("to"))
+    roots = step.where(F.col("c") == F.col("to")).select(F.col("c").alias("g"))
+    found = cut_lineage(step.withColumnRenamed("to", "g").join(roots, "g", "left_semi"))
+    size = active.join(found.withColumnRenamed("c", "c0"), "c0").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    deal = F.ceil(F.col("n") / F.lit(most))
+    drawn = F.pmod(F.xxhash64("c", F.lit(turn)), F.greatest(F.coalesce(deal, F.lit(1)), F.lit(1))) == 0
+    return found.join(size, "g", "left").where((F.col("c") == F.col("g")) | drawn).select("c", "g")
+
+
+def _moved(sym: DataFrame, part: DataFrame, active: DataFrame, total: float, most: int, turn: int) -> DataFrame:
+    """``part`` after one pass of grouped moves."""
+    group = cut_lineage(_groups(active, most, turn))
+    a = active.join(group.select(F.col("c").alias("c0"), "g"), "c0").join(group.select(F.col("c").alias("c1"), F.col("g").alias("g1")), "c1")
+    a = cut_lineage(a.where(F.col("g") == F.col("g1")).select("g", "u", "k", F.col("c0").alias("c")))
     degree = sym.groupBy("u").agg(F.sum("w").alias("k"))
-    total = sym.agg(F.sum("w")).first()[0]
-    part = cut_lineage(degree.select("u", "k", F.col("u").alias("c")))
-    links = sym.where(F.col("u") != F.col("v"))
-    for p in range(passes):
-        tot = part.groupBy("c").agg(F.sum("k").alias("tot"))
-        near = part.select(F.col("u").alias("v"), F.col("c"))
-        pull = links.join(near, "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
-        own = part.select("u", F.col("c").alias("c0"), "k")
-        options = pull.unionByName(part.select("u", "c", F.lit(0.0).alias("w")))
-        options = options.groupBy("u", "c").agg(F.sum("w").alias("w")).join(own, "u").join(tot, "c")
-        rest = F.when(F.col("c") == F.col("c0"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
-        gain = F.round(F.col("w") - F.col("k") * rest / total, 9)
-        stay = F.when(F.col("c") == F.col("c0"), F.lit(0)).otherwise(1)
-        best = options.groupBy("u").agg(
-            F.min(F.struct((-gain).alias("g"), stay.alias("s"), F.col("c").alias("c"))).alias("b"),
-            F.first("c0").alias("c0"), F.first("k").alias("k"),
-        )
-        turn = F.pmod(F.xxhash64(F.col("u"), F.lit(p)), F.lit(2 + p // 8)) == 0
-        part = cut_lineage(best.select("u", "k", F.when(turn, F.col("b.c")).otherwise(F.col("c0")).alias("c"),
-                                       (F.col("b.c") != F.col("c0")).alias("gains")))
-        gains = part.agg(F.count_if("gains")).first()[0]
-        part = part.drop("gains")
-        if not gains:
-            return part.select("u", "c")
+    volume = part.join(degree, "u").groupBy("c").agg(F.sum("k").alias("x")).join(group, "c")
+    near = part.select(F.col("u").alias("v"), F.col("c").alias("cv"))
+    link = sym.where(F.col("u") != F.col("v")).join(a.select("u", "g"), "u").join(near, "v")
+    link = link.join(a.select(F.col("u").alias("v"), F.col("g").alias("gv")), "v", "left")
+    mine = F.col("gv").isNotNull() & (F.col("gv") == F.col("g"))
+    pull = link.where(~mine).join(group.select(F.col("c").alias("cv"), F.col("g").alias("gc")), "cv").where(F.col("gc") == F.col("g"))
+    none = F.lit(None).cast("string")
+    rows = (
+        volume.select("g", none.alias("u"), "c", none.alias("v"), "x")
+        .unionByName(a.select("g", "u", "c", none.alias("v"), F.col("k").alias("x")))
+        .unionByName(link.where(mine).select("g", "u", none.alias("c"), "v", F.col("w").alias("x")))
+        .unionByName(pull.groupBy("g", "u", F.col("cv").alias("c")).agg(F.sum("w").alias("x")).select("g", "u", "c", F.lit("").alias("v"), "x"))
+    )
+
+    def run(rows):
+        tot: dict = defaultdict(float)
+        k, at, links, fixed = {}, {}, defaultdict(dict), defaultdict(dict)
+        for u, c, v, x in rows:
+            if u is None:
+                tot[c] = x
+            elif v is None:
+                k[u], at[u] = x, c
+                links[u]  # noqa: B018 - a node may have no movable neighbour
+            elif c is None:
+                links[u][v] = x
+            else:
+                fixed[u][c] = x
+        settle(dict(links), k, at, tot, total, fixed)
+        yield from at.items()
+
+    new = by_group(rows, "u string, c1 string", ["u", "c1"], run)
+    return cut_lineage(part.join(new, "u", "left").select("u", F.coalesce("c1", "c").alias("c")))
+
+
+def local_moves(sym: DataFrame, part: DataFrame, total: float, most: int = MOST_LINKS, passes: int = 400) -> DataFrame:
+    """``part(u, c)`` after passes of grouped moves until no node gains by one; more than ``passes`` raise."""
+    for turn in range(passes):
+        active = cut_lineage(gaining(sym, part, total))
+        if active.isEmpty():
+            return part
+        part = _moved(sym, part, active, total, most, turn)
     raise RuntimeError(f"communities did not settle in {passes} passes")
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 60, passes: int = 400) -> DataFrame:
-    """GRA15: ``(wallet, community)``, deterministic; a community is named after its smallest member.
+def _inside(sym: DataFrame, part: DataFrame) -> DataFrame:
+    """Edges between members of one community."""
+    near = part.select(F.col("u").alias("v"), F.col("c").alias("cv"))
+    return sym.join(part, "u").join(near, "v").where(F.col("c") == F.col("cv")).select("u", "v", "w")
 
-    Passes run until no node gains by a move, levels until modularity no longer rises; more than ``passes`` or ``levels`` raise.
-    """
-    sym = cut_lineage(undirected(edges))
-    base = nodes.select(F.col("wallet").alias("u")).distinct()
-    if sym.isEmpty():
-        return base.select(F.col("u").alias("wallet"), F.col("u").alias("community"))
-    best = cut_lineage(base.select("u", F.col("u").alias("c")))
-    best_q, level_sym = modularity(sym, best), sym
+
+def _pieces(sym: DataFrame, part: DataFrame) -> DataFrame:
+    """Connected pieces of the communities."""
+    inner = _inside(sym, part).select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    return cut_lineage(connected_components(inner, part.select(F.col("u").alias("wallet"))).toDF("u", "c"))
+
+
+def _giant(sym: DataFrame, total: float, refine: bool, most: int, passes: int, levels: int) -> DataFrame:
+    """Communities of components that don't fit a task: grouped moves, contraction of the (for Leiden: refined) parts, level by level."""
+    nodes = cut_lineage(sym.select("u").distinct())
+    flat, here = nodes.select("u", F.col("u").alias("s")), sym
+    part = nodes.select("u", F.col("u").alias("c"))
     for _ in range(levels):
-        moved = _moves(level_sym, passes)
-        step = moved.select(F.col("u").alias("c"), F.col("c").alias("c2"))
-        part = cut_lineage(best.join(step, "c", "left").select("u", F.coalesce("c2", "c").alias("c")))
-        q = modularity(sym, part)
-        if q <= best_q + 1e-12:
+        part = local_moves(here, part, total, most, passes)
+        sub = part
+        if refine:
+            alone = part.select("u", F.col("u").alias("c"))
+            within = _inside(here, part)
+            sub = _pieces(within, local_moves(cut_lineage(within), alone, total, most, passes))
+        if sub.select("c").distinct().count() == sub.count():
             break
-        best, best_q = part, q
-        cu, cv = moved.toDF("u", "cu"), moved.toDF("v", "cv")
-        level_sym = cut_lineage(
-            level_sym.join(cu, "u").join(cv, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
-        )
+        cu, cv = sub.toDF("u", "cu"), sub.toDF("v", "cv")
+        links = here.join(cu, "u").join(cv, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
+        flat = cut_lineage(flat.join(sub.toDF("s", "s2"), "s").select("u", F.col("s2").alias("s")))
+        if refine:
+            part = cut_lineage(sub.toDF("u", "s").join(part, "u").groupBy(F.col("s").alias("u")).agg(F.first("c").alias("c")))
+        else:
+            part = sub.select(F.col("c").alias("u"), "c").distinct()
+        here = cut_lineage(links)
     else:
         raise RuntimeError(f"communities did not settle in {levels} levels")
-    names = best.groupBy("c").agg(F.min("u").alias("community"))
-    return best.join(names, "c").select(F.col("u").alias("wallet"), "community")
+    out = _pieces(sym, flat.join(part.toDF("s", "c"), "s").select("u", "c"))
+    for _ in range(passes):
+        if gaining(sym, out, total).isEmpty():
+            return out
+        out = _pieces(sym, local_moves(sym, out, total, most, passes))
+    raise RuntimeError(f"communities did not settle in {passes} passes")
 
 
-def leiden(edges: DataFrame, nodes: DataFrame, levels: int = 60, passes: int = 400) -> DataFrame:
-    """GRA16: the same communities, each split into its connected parts."""
-    part = cut_lineage(louvain(edges, nodes, levels, passes))
-    s = part.select(F.col("wallet").alias("src"), F.col("community").alias("cs"))
-    d = part.select(F.col("wallet").alias("dst"), F.col("community").alias("cd"))
-    inner = edges.select("src", "dst").join(s, "src").join(d, "dst").where(F.col("cs") == F.col("cd"))
-    return connected_components(inner, nodes).select("wallet", F.col("component").alias("community"))
+def communities(edges: DataFrame, nodes: DataFrame, refine: bool = False, most: int = MOST_LINKS, passes: int = 400, levels: int = 60) -> DataFrame:
+    """``(wallet, community)`` of at least the modularity of the components: every community is connected, and no node gains by moving.
+
+    A component of more than ``most`` links goes the way over tasks, and there a group of more movable nodes is dealt over
+    several passes. Deterministic. A community is named after its smallest member.
+    """
+    base = nodes.select(F.col("wallet").alias("u")).distinct()
+    sym = cut_lineage(undirected(edges))
+    total = sym.agg(F.sum("w")).first()[0]
+    if not total:
+        return base.select(F.col("u").alias("wallet"), F.col("u").alias("community"))
+    comp = cut_lineage(connected_components(edges).toDF("u", "g"))
+    size = sym.join(comp, "u").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    big = cut_lineage(size.where(F.col("n") > most).select("g"))
+    if big.isEmpty():
+        part = _components_settled(sym, comp, total, refine)
+    else:
+        large = comp.join(big, "g", "left_semi")
+        giant = _giant(cut_lineage(sym.join(large, "u", "left_semi").select("u", "v", "w")), total, refine, most, passes, levels)
+        part = _components_settled(sym, comp.join(big, "g", "left_anti"), total, refine).unionByName(giant)
+    part = cut_lineage(part)
+    names = part.groupBy("c").agg(F.min("u").alias("name"))
+    named = part.join(names, "c").select("u", "name")
+    return base.join(named, "u", "left").select(F.col("u").alias("wallet"), F.coalesce("name", "u").alias("community"))
+
+
+def louvain(edges: DataFrame, nodes: DataFrame, **limits) -> DataFrame:
+    """GRA15: communities by local moves and contraction."""
+    return communities(edges, nodes, False, **limits)
+
+
+def leiden(edges: DataFrame, nodes: DataFrame, **limits) -> DataFrame:
+    """GRA16: as Louvain, with parts refined inside their communities before they are contracted."""
+    return communities(edges, nodes, True, **limits)
+
+
+def partition_checks(edges: DataFrame, nodes: DataFrame, part: DataFrame) -> DataFrame:
+    """One row: wallets covered, whether modularity is at least that of the components, whether all parts are connected, nodes that gain by moving."""
+    p = cut_lineage(part.select(F.col("wallet").alias("u"), F.col("community").alias("c")))
+    sym = cut_lineage(undirected(edges))
+    total = sym.agg(F.sum("w")).first()[0] or 1.0
+    whole = connected_components(edges, nodes).select(F.col("wallet").alias("u"), F.col("component").alias("c"))
+    more = modularity(sym, p) >= modularity(sym, whole) - EPS
+    pieces = _pieces(sym, p).select("c").distinct().count()
+    return p.agg(
+        F.countDistinct("u").alias("wallets"), F.lit(more).alias("above_components"), (F.countDistinct("c") == pieces).alias("connected"),
+        F.lit(gaining(sym, p, total).count()).alias("gaining"),
+    )

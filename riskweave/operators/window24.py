@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,28 +106,58 @@ def _hub_pairs(e: DataFrame, up: DataFrame, hubs: DataFrame) -> DataFrame:
     return pairs.groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("p"))
 
 
-def longest_hops(win: DataFrame) -> DataFrame:
+def longest_hops(win: DataFrame, slice_rows: int = 100_000, most_pairs: int = 1_000_000) -> DataFrame:
     """GRA7: longest time-respecting walk starting at each wallet.
 
-    Round k keeps, per wallet, the latest send that begins a walk of k transfers. A
-    send extends it when it happens before the latest k-walk start of its receiver,
-    so each round is one join against one row per wallet and one maximum; rows that
-    cannot extend are dropped for good. Rounds end with the longest walk.
+    Time is cut into slices, the latest first. In parallel, each is reduced to the most transfers of a walk from one
+    wallet to another inside it; a slice of more than ``most_pairs`` such pairs is cut further. The slices are then put
+    together from the end: a walk that reaches a wallet goes on by that wallet's longest walk in the slices behind. One small join and one
+    maximum per slice, however long the walks are.
     """
-    step = win.select(
-        F.col("sender_wallet").alias("s"), F.col("receiver_wallet").alias("r"), F.struct("timestamp", "ord").alias("at")
-    )
-    step = cut_lineage(step)
-    latest = cut_lineage(step.groupBy(F.col("s").alias("wallet")).agg(F.max("at").alias("t")))
-    rounds, k = [], 1
-    while not latest.isEmpty():
-        rounds.append(latest.select("wallet", F.lit(k).alias("hops")))
-        step = cut_lineage(step.join(latest, F.col("r") == F.col("wallet")).where(F.col("at") < F.col("t")).select("s", "r", "at"))
-        latest = cut_lineage(step.groupBy(F.col("s").alias("wallet")).agg(F.max("at").alias("t")))
-        k += 1
-    if not rounds:
-        return latest.select("wallet", F.lit(0).alias("hop_count_in_window"))
-    return reduce(DataFrame.unionByName, rounds).groupBy("wallet").agg(F.max("hops").alias("hop_count_in_window"))
+    at = ["timestamp", "ord"]
+    step = win.select(F.col("sender_wallet").alias("s"), F.col("receiver_wallet").alias("r"), *at)
+    parts = max(1, -(-step.count() // slice_rows))
+    down = [F.col(c).desc() for c in at]
+    cut = step.repartitionByRange(parts, *down).sortWithinPartitions(*down).withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ways: dict = {}  # wallet -> {wallet reached: most transfers}, over the transfers read so far, which are later ones
+        size = piece = 0
+        part = None
+
+        def told():
+            rows = [(part, piece, a, b, n) for a, to in ways.items() for b, n in to.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "piece", "a", "b", "hops"])
+
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+        for batch in batches:
+            for part, s, r in zip(*(batch.column(c).to_pylist() for c in ("part", "s", "r"))):
+                mine = ways.setdefault(s, {})
+                size -= len(mine)
+                on = ways.get(r, {}) if r is not None else {}
+                for b, n in list(on.items()):
+                    if mine.get(b, 0) <= n:
+                        mine[b] = n + 1
+                mine.setdefault(r, 1)
+                size += len(mine)
+                if size > most_pairs:
+                    yield told()
+                    ways, size, piece = {}, 0, piece + 1
+        if ways:
+            yield told()
+
+    maps = cut_lineage(cut.select("part", "s", "r").mapInArrow(run, "part int, piece int, a string, b string, hops long"))
+    best = None
+    for slice_ in maps.select("part", "piece").distinct().orderBy("part", "piece").collect():
+        here = maps.where((F.col("part") == slice_.part) & (F.col("piece") == slice_.piece))
+        new = here.select(F.col("a").alias("wallet"), "hops")
+        if best is not None:
+            on = here.join(best.select(F.col("wallet").alias("b"), F.col("hops").alias("more")), "b")
+            new = new.unionByName(on.select(F.col("a").alias("wallet"), (F.col("hops") + F.col("more")).alias("hops"))).unionByName(best)
+        best = cut_lineage(new.groupBy("wallet").agg(F.max("hops").alias("hops")))
+    if best is None:
+        best = maps.select(F.col("a").alias("wallet"), "hops")
+    return best.select("wallet", F.col("hops").cast("int").alias("hop_count_in_window"))
 
 
 def splitting(edges: DataFrame) -> DataFrame:

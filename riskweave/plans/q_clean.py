@@ -196,6 +196,18 @@ def snk2(spark, d):
     return store.upsert(old, new, ["wallet"], ["ord"]).select("wallet", "score")
 
 
+@query("snk2_table", select(S(wallet="wallet"), D(score="score"), tail="""FROM (
+  SELECT sender_wallet AS wallet, arg_max(amount, ord) AS score FROM tx_h GROUP BY 1
+  UNION ALL SELECT sender_wallet, max(fee) FROM tx_a WHERE sender_wallet NOT IN (SELECT sender_wallet FROM tx_h) GROUP BY 1)"""))
+def snk2_table(spark, d):
+    """The same on a stored table of buckets, of which only those with a new score are written again."""
+    path = scratch(spark, "scores")
+    store.upsert_table(path, transfers(spark, d).groupBy(F.col("sender_wallet").alias("wallet")).agg(F.max("fee").alias("score")), ["wallet"], buckets=16)
+    new = large_transfers(spark, d).select(F.col("sender_wallet").alias("wallet"), F.col("amount").alias("score"), "ord")
+    store.upsert_table(path, new, ["wallet"], ["ord"], buckets=16)
+    return store.read_upserted(spark, path).select("wallet", "score")
+
+
 @query("snk3", select(S(src="src", dst="dst"), D(amount="amount"), tail="FROM ed_a"))
 def snk3(spark, d):
     """Edge table exported to CSV and read back."""

@@ -8,7 +8,7 @@ from ..operators import clusters as cl
 from ..operators import graph as g
 from ..operators import khop
 from ..operators.betweenness import betweenness
-from ..operators.communities import leiden, louvain
+from ..operators.communities import leiden, louvain, partition_checks
 from ..operators.components import connected_components
 from ..operators.cycles import clustering, cycles_per_wallet, ego_cycles, simple_cycles
 from ..operators.cleaning import trailing_hours
@@ -143,13 +143,32 @@ def gra1(spark, d):
     return pagerank(gr.edges, gr.nodes)
 
 
-@query("gra2")
+# Distances and numbers of shortest paths in the cell graph; no component of it has paths of twenty links.
+PATHS = {
+    "found": "SELECT wallet AS s, wallet AS v, 0 AS d FROM nd_l UNION SELECT f.s, e.dst, f.d + 1 FROM found f JOIN ed_l e ON e.src = f.v WHERE f.d < 20",
+    "far": "SELECT s, v, min(d) AS d FROM found GROUP BY 1, 2",
+    "ways": """SELECT wallet AS s, wallet AS v, 0 AS d, 1.0::DOUBLE AS n FROM nd_l UNION ALL
+SELECT w.s, e.dst, w.d + 1, sum(w.n) FROM ways w JOIN ed_l e ON e.src = w.v JOIN far ON far.s = w.s AND far.v = e.dst AND far.d = w.d + 1 GROUP BY 1, 2, 3""",
+    "mid": """SELECT a.v AS wallet, sum(a.n * b.n / c.n) AS x FROM ways a JOIN ways b ON b.s = a.v JOIN ways c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d
+WHERE a.d > 0 AND b.d > 0 GROUP BY 1""",
+}
+BETWEEN = "(SELECT n.wallet, coalesce(x, 0) / (((SELECT count(*) FROM nd_l) - 1.0) * ((SELECT count(*) FROM nd_l) - 2.0)) AS b FROM nd_l n LEFT JOIN mid USING (wallet))"
+
+
+@query("gra2", select(S(wallet="wallet"), D(betweenness="b"), tail=f"FROM {BETWEEN}", **PATHS))
 def gra2(spark, d):
     """Exact betweenness of the cell graph."""
     lg = large_graph(spark, d)
     return betweenness(lg.edges, lg.nodes)
 
 
+@query("gra2_batches", select(S(wallet="wallet"), D(betweenness="b"), tail=f"FROM {BETWEEN}", **PATHS))
+def gra2_batches(spark, d):
+    """The same with sources taken in batches of about a third."""
+    lg = large_graph(spark, d)
+    return betweenness(lg.edges, lg.nodes, most_rows=lg.nodes.count() ** 2 // 3)
+
+
 @query("gra3", select(S(wallet="n.wallet"), D(clustering_coefficient="CASE WHEN x.d > 1 THEN coalesce(t.t, 0) / (x.d * (x.d - 1)) ELSE 0 END"), tail="""
 FROM nd_a n JOIN (SELECT wallet, count(*) d FROM nb_a GROUP BY 1) x USING (wallet)
 LEFT JOIN (SELECT p.wallet, count(*) t FROM nb_a p JOIN nb_a q ON q.wallet = p.nb JOIN nb_a r ON r.wallet = p.wallet AND r.nb = q.nb GROUP BY 1) t USING (wallet)"""))
@@ -158,9 +177,27 @@ def gra3(spark, d):
     return clustering(gr.edges, gr.nodes)
 
 
-@query("gra4", select(S(wallet="wallet"), D(pagerank="0", betweenness="0", clustering_coefficient="0"), tail="FROM nd_a"))
+COEFFICIENT = """(SELECT n.wallet, CASE WHEN x.d > 1 THEN coalesce(t.t, 0) / (x.d * (x.d - 1)) ELSE 0 END AS c FROM nd_{s} n JOIN (SELECT wallet, count(*) d FROM nb_{s} GROUP BY 1) x USING (wallet)
+LEFT JOIN (SELECT p.wallet, count(*) t FROM nb_{s} p JOIN nb_{s} q ON q.wallet = p.nb JOIN nb_{s} r ON r.wallet = p.wallet AND r.nb = q.nb GROUP BY 1) t USING (wallet))"""
+
+
+@query("gra4", select(S(wallet="wallet"), D(pagerank="pagerank", betweenness="0", clustering_coefficient="c"), tail=f"FROM (SELECT {RANK_PICK}) JOIN {COEFFICIENT.format(s='a')} USING (wallet)",
+                      rank_base=RANK_BASE, rank_steps=RANK_STEPS))
 def gra4(spark, d):
-    """Above the node cap the global metrics are zero."""
+    """The global metrics whose cost grows in line with the links; betweenness is 0."""
+    return global_metrics(build_graph(transfers(spark, d)), "linear")
+
+
+@query("gra4_full", select(S(wallet="wallet"), D(pagerank="pagerank", betweenness="b", clustering_coefficient="c"), tail=f"FROM (SELECT {RANK_PICK.replace('nd_a', 'nd_l')}) JOIN {BETWEEN} USING (wallet) JOIN {COEFFICIENT.format(s='l')} USING (wallet)",
+                           rank_base=RANK_BASE.replace("_a", "_l"), rank_steps=RANK_STEPS.replace("ed_a", "ed_l"), **PATHS))
+def gra4_full(spark, d):
+    """All global metrics, on the cell graph."""
+    return global_metrics(large_graph(spark, d), "full")
+
+
+@query("gra4_none", select(S(wallet="wallet"), D(pagerank="0", betweenness="0", clustering_coefficient="0"), tail="FROM nd_a"))
+def gra4_none(spark, d):
+    """The metrics switched off."""
     return global_metrics(build_graph(transfers(spark, d)), "none")
 
 
@@ -184,10 +221,10 @@ def gra5a(spark, d):
     return n.select("wallet", "n3", "n4", "n5", "n6")
 
 
-@query("gra5b", sql("SELECT wallet, count(*) AS circularity_score FROM (SELECT unnest(path) AS wallet FROM walk WHERE closed) GROUP BY 1", walk=cycle_walk("w")))
+@query("gra5b", sql("SELECT wallet, count(*) AS circularity_score FROM (SELECT unnest(path) AS wallet FROM walk WHERE closed) GROUP BY 1", walk=cycle_walk("l")))
 def gra5b(spark, d):
-    """Cycles of the trailing day each wallet lies on."""
-    return cycles_per_wallet(simple_cycles(g.wallet_edges(trailing_hours(transfers(spark, d))), 10))
+    """Cycles of the cell graph each wallet lies on."""
+    return cycles_per_wallet(simple_cycles(g.wallet_edges(cell_transfers(spark, d)), 10))
 
 
 def reconvergence_sql(s: str) -> str:
@@ -303,6 +340,30 @@ def gra16(spark, d):
     return leiden(lg.edges, lg.nodes)
 
 
+CHECKS = sql("SELECT (SELECT count(*) FROM nd_l) AS wallets, true AS above_components, true AS connected, 0 AS gaining")
+
+
+@query("gra15_checks", CHECKS)
+def gra15_checks(spark, d):
+    """What a partition must fulfil: all wallets, modularity of the components at least, connected parts, no gain by a single move."""
+    lg = large_graph(spark, d)
+    return partition_checks(lg.edges, lg.nodes, louvain(lg.edges, lg.nodes))
+
+
+@query("gra16_checks", CHECKS)
+def gra16_checks(spark, d):
+    """The same for parts refined before contraction."""
+    lg = large_graph(spark, d)
+    return partition_checks(lg.edges, lg.nodes, leiden(lg.edges, lg.nodes))
+
+
+@query("gra16_giant", sql("SELECT (SELECT count(*) FROM nd_a) AS wallets, true AS above_components, true AS connected, 0 AS gaining"))
+def gra16_giant(spark, d):
+    """The checks on the graph of all wallets, whose one component is treated as too large for a task."""
+    gr = build_graph(transfers(spark, d))
+    return partition_checks(gr.edges, gr.nodes, leiden(gr.edges, gr.nodes, most=1000))
+
+
 @query("gra17", select(S(cluster_id="c.component"), I(size="count(*)", internal_edges="any_value(coalesce(e.k, 0))"),
                        D(mean_risk="avg(abs(m.balance_ratio))", max_risk="max(abs(m.balance_ratio))", density="CASE WHEN count(*) > 1 THEN any_value(coalesce(e.k, 0)) / (count(*) * (count(*) - 1)) ELSE 0 END"),
                        tail="FROM cc_l c JOIN nm_l m USING (wallet) LEFT JOIN (SELECT component, count(*) k FROM ed_l JOIN cc_l ON wallet = src GROUP BY 1) e USING (component) GROUP BY 1"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +20,11 @@ def clean_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def velocity_stream(stream: DataFrame, delay: str = "1 hour", width: str = "24 hours", slide: str = "1 hour") -> DataFrame:
-    """STR2: transfers, volume and sub-threshold count per wallet in sliding windows; rows later than ``delay`` are dropped."""
+    """STR2: transfers, volume and sub-threshold count per wallet in sliding windows.
+
+    Meant for append output: a window comes out once, when the watermark (latest time less ``delay``) passes its end, and its state is
+    dropped then; rows for windows that are closed by then are dropped. So state is bounded by the wallets active in ``width + delay``.
+    """
     both = stream.select("timestamp", "amount", F.explode(F.array("sender_wallet", "receiver_wallet")).alias("wallet"))
     a = F.col("amount")
     return both.withWatermark("timestamp", delay).groupBy(F.window("timestamp", width, slide), "wallet").agg(
@@ -26,26 +32,28 @@ def velocity_stream(stream: DataFrame, delay: str = "1 hour", width: str = "24 h
     )
 
 
-def latest_result(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the current state of an aggregated stream as a table, replaced after every micro-batch."""
+def _appended(stream: DataFrame, path: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Appends every micro-batch in a folder of its own, overwritten when the batch is retried, so a restart adds no row twice."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (change(batch) if change else batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
-def score_stream(stream: DataFrame, rules: DataFrame, path: str, checkpoint: str, settings: Settings = DEFAULTS) -> StreamingQuery:
-    """STR3: score each micro-batch with stored wallet rules and append its suspicious rows.
+def closed_windows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """STR2: append each window of an aggregated stream once it is closed."""
+    return _appended(stream, path, checkpoint)
 
-    Each batch writes into its own folder, overwritten when the batch is retried, so a restart adds no row twice.
-    """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+def score_stream(stream: DataFrame, rules: DataFrame, path: str, checkpoint: str, settings: Settings = DEFAULTS) -> StreamingQuery:
+    """STR3: score each micro-batch with stored wallet rules and append its suspicious rows."""
+
+    def scored(batch: DataFrame) -> DataFrame:
         from ..plans.scoring import score_transfers
 
-        scored = score_transfers(batch, rules, None, None, settings)
         keep = ["transaction_id", "meta_score", "risk_level", "heuristic_triggered_count", "heuristic_top_typology"]
-        scored.where(suspicious(settings)).select(*keep).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        return score_transfers(batch, rules, None, None, settings).where(suspicious(settings)).select(*keep)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _appended(stream, path, checkpoint, scored)

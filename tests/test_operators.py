@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from riskweave.functions import risk, text
 from riskweave.functions.typology_names import label_of_rule, normalise_truth, truth_columns
 from riskweave.operators import cleaning, clusters, cycles, filing, graph, typology
 from riskweave.operators.betweenness import betweenness
-from riskweave.operators.communities import _moves, leiden, louvain, modularity, undirected
+from riskweave.operators.communities import leiden, local_moves, louvain, modularity, undirected
 from riskweave.operators.components import connected_components
 from riskweave.operators.ordered import exact_quantile, group_median, ordered_scan
 from riskweave.operators.pagerank import pagerank
@@ -95,15 +96,36 @@ def brute_cycles(pairs, limit):
     return found
 
 
-def test_simple_cycles_match_brute_force(spark):
-    pairs = random_pairs(12, 40, 3)
-    got = {tuple(r["path"]) for r in cycles.simple_cycles(edges(spark, pairs), 6).collect()}
-    assert got == brute_cycles(pairs, 6)
+@pytest.mark.parametrize("n, m, limit", [(12, 40, 6), (12, 40, 7), (9, 30, 10), (40, 60, 10), (6, 5, 2)])
+def test_simple_cycles_match_brute_force(spark, n, m, limit):
+    pairs = random_pairs(n, m, 3)
+    got = [tuple(r["path"]) for r in cycles.simple_cycles(edges(spark, pairs), limit).collect()]
+    assert Counter(got) == Counter(brute_cycles(pairs, limit))
 
 
-def test_ego_cycles_match_brute_force(spark):
-    pairs = random_pairs(10, 30, 4)
-    got = {r["wallet"]: r for r in cycles.ego_cycles(edges(spark, pairs), enough=10**6).collect()}
+@pytest.mark.parametrize("most", [1000, 5])
+def test_strong_links_are_those_on_cycles(spark, most):
+    pairs = random_pairs(40, 55, 9) + [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("g", "a")]
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+
+    def reaches(a, b):
+        seen, stack = set(), [a]
+        while stack:
+            for x in out[stack.pop()] - seen:
+                seen.add(x)
+                stack.append(x)
+        return b in seen
+
+    got = {(r.src, r.dst) for r in cycles.strong_links(edges(spark, pairs), most).collect()}
+    assert got == {(a, b) for a, b in pairs if reaches(b, a)} and ("c", "d") not in got
+
+
+@pytest.mark.parametrize("n, m", [(10, 30), (9, 55), (8, 56)])
+def test_ego_cycles_match_brute_force(spark, n, m):
+    pairs = random_pairs(n, m, 4)
+    got = {r["wallet"]: r for r in cycles.ego_cycles(edges(spark, pairs)).collect()}
     nodes = {x for p in pairs for x in p}
     for w in nodes:
         ego = {w} | {b for a, b in pairs if a == w} | {a for a, b in pairs if b == w}
@@ -113,6 +135,33 @@ def test_ego_cycles_match_brute_force(spark):
             assert got[w][f"n{limit}"] == want, (w, limit)
 
 
+def brute_hops(rows):
+    """Longest walks from (sender, receiver) rows in the order of time."""
+    best: dict = {}
+    for s, r in reversed(rows):
+        best[s] = max(best.get(s, 0), 1 + best.get(r, 0))
+    return best
+
+
+@pytest.mark.parametrize("slice_rows, most_pairs", [(10**6, 10**6), (40, 10**6), (10**6, 30), (70, 25)])
+def test_longest_walks_over_slices(spark, make_tx, slice_rows, most_pairs):
+    rng = random.Random(12)
+    rows = [(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(300)]
+    got = {r["wallet"]: r["hop_count_in_window"] for r in longest_hops(make_tx([(*x, 1.0) for x in rows]), slice_rows, most_pairs).collect()}
+    assert got == brute_hops(rows)
+
+
+def test_longest_walk_of_one_busy_pair(spark):
+    """50,000 transfers to and fro in a day: one walk of 50,000 steps, put together from six slices."""
+    n = F.col("id")
+    tx = spark.range(50_000).select(
+        F.when(n % 2 == 0, "a").otherwise("b").alias("sender_wallet"), F.when(n % 2 == 0, "b").otherwise("a").alias("receiver_wallet"), F.timestamp_seconds(n).alias("timestamp"), n.alias("ord")
+    )
+    got = {r["wallet"]: r["hop_count_in_window"] for r in longest_hops(tx, 9_000).collect()}
+    assert got == {"a": 50_000, "b": 49_999}
+    assert longest_hops(tx.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("hub", [10_000, 3])
 def test_two_hop_counts_with_and_without_hubs(spark, hub):
     pairs = random_pairs(30, 70, 5)
@@ -166,29 +215,70 @@ def test_pagerank_and_betweenness_on_a_path(spark):
 def test_communities_cover_nodes(spark):
     clique = lambda p: [(f"{p}{i}", f"{p}{j}") for i in range(4) for j in range(4) if i != j]
     e = edges(spark, clique("a") + clique("b") + [("a0", "b0")])
-    nodes = graph.nodes_of(e)
+    nodes = graph.nodes_of(e).unionByName(spark.createDataFrame([("alone",)], "wallet string"))
     for find in (louvain, leiden):
-        part = {r["wallet"]: r["community"] for r in find(e, nodes).collect()}
-        assert part["a1"] == part["a3"] != part["b2"] == part["b1"] and len(part) == 8
+        for most in (1000, 20):  # in one task, and by grouped moves
+            part = {r["wallet"]: r["community"] for r in find(e, nodes, most=most).collect()}
+            assert part["a1"] == part["a3"] == "a0" != part["b2"] == part["b1"] and len(part) == 9 and part["alone"] == "alone"
     assert modularity(undirected(e), spark.createDataFrame([(w, c) for w, c in part.items()], "u string, c string")) > 0.3
+    none = e.where("false")
+    assert louvain(none, nodes).where("wallet <> community").isEmpty()
 
 
-def test_local_moves_end_when_no_node_gains(spark):
-    sym = undirected(edges(spark, random_pairs(150, 300, 3))).persist()
-    part = {r.u: r.c for r in _moves(sym, 400).collect()}
-    near, total = {}, 0
-    for r in sym.collect():
-        near.setdefault(r.u, []).append(r.v)
-        total += 1
-    volume = {}
+def quality(near, part):
+    """(gain of the best single move, whether all parts are connected, modularity)."""
+    total = sum(map(len, near.values()))
+    volume, members = Counter(), defaultdict(set)
     for u, c in part.items():
-        volume[c] = volume.get(c, 0) + len(near[u])
+        volume[c] += len(near[u])
+        members[c].add(u)
+    best = 0.0
     for u, c in part.items():
         k = len(near[u])
         gain = {x: sum(part[v] == x for v in near[u]) - k * (volume[x] - (k if x == c else 0)) / total for x in {c, *(part[v] for v in near[u])}}
-        assert gain[c] >= max(gain.values()) - 1e-8
+        best = max(best, max(gain.values()) - gain[c])
+    whole = True
+    for m in members.values():
+        seen, stack = set(), [min(m)]
+        while stack:
+            u = stack.pop()
+            if u not in seen:
+                seen.add(u)
+                stack += [v for v in near[u] if v in m]
+        whole &= seen == m
+    q = sum(sum(part[v] == c for v in near[u]) for u, c in part.items()) / total - sum((v / total) ** 2 for v in volume.values())
+    return best, whole, q
+
+
+@pytest.mark.parametrize("find, most, n", [(louvain, 10_000, 90), (leiden, 10_000, 90), (louvain, 90, 30), (leiden, 90, 30)])
+def test_communities_are_connected_and_stable(spark, find, most, n):
+    """Two random graphs, a ring of cliques and a star with pendant paths; the ring, of more than 90 links, by grouped moves over levels."""
+    r = random.Random(11)
+    pairs = random_pairs(n, 2 * n // (1 if n > 30 else 2), 5) + [(f"x{a}", f"x{b}") for a, b in random_pairs(30, 25, 6)]
+    for i in range(8):
+        pairs += [(f"q{i}_{a}", f"q{i}_{b}") for a in range(5) for b in range(a)] + [(f"q{i}_0", f"q{(i + 1) % 8}_1")]
+    for i in range(n // 3):
+        pairs += [("hub", f"s{i}"), (f"s{i}", f"t{i}"), (f"t{i}", f"s{r.randrange(n // 3)}")]
+    e = edges(spark, [p for p in pairs if p[0] != p[1]])
+    nodes = graph.nodes_of(e)
+    near = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            near[str(a)].add(str(b))
+            near[str(b)].add(str(a))
+    part = {x["wallet"]: x["community"] for x in find(e, nodes, most=most).collect()}
+    assert part.keys() == near.keys()
+    best, whole, q = quality(near, part)
+    comp = {x["wallet"]: x["component"] for x in connected_components(e, nodes).collect()}
+    assert best < 1e-8 and whole and q >= quality(near, comp)[2]
+    assert q > 0.6 and all(len({part[f"q{i}_{a}"] for a in range(5)}) == 1 for i in range(8))
+
+
+def test_moves_raise_when_they_do_not_settle(spark):
+    sym = undirected(edges(spark, random_pairs(150, 300, 3))).persist()
+    alone = sym.select("u", F.col("u").alias("c")).distinct()
     with pytest.raises(RuntimeError):
-        _moves(sym, 1)
+        local_moves(sym, alone, sym.agg(F.sum("w")).first()[0], passes=1)
 
 
 @pytest.mark.parametrize(
