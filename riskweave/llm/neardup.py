@@ -197,17 +197,8 @@ def links(need: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return in_groups(need.join(sets, "cls"), settle, "a binary, b binary", to_batch, 200).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h, n_shingles, component_id, kept) per row; h is a hash of the text.
-
-    Two documents are linked if their sets of five-word shingles have a Jaccard similarity
-    of ``threshold`` or more; a component is named after its smallest id. Equal sets are one class from
-    the start, so copies of any number cost one row each. Classes meet in bands of equal
-    registers, where every pair that may be linked is settled on full sets unless other links already
-    connect it, so no link between components is lost that the bands show. Texts without words are
-    linked with nothing, not even each other. A null id is in the component of its copies, or without any,
-    null and kept. Rows that share id and text share the result.
-    """
+def grouped(docs: DataFrame, threshold: float, id: str, text: str) -> DataFrame:
+    """What ``near_duplicates`` returns, with ``comp``, a name of the component that doesn't hang on ids (null without words)."""
     rows = written(sketched(docs, id, text))
     full = rows.where("n > 0")
     reps = full.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("r"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("regs").alias("regs"))
@@ -220,16 +211,54 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_i
 
     joined = reps.select("cls", "low").join(comps.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = joined.groupBy("comp").agg(F.min("low").alias("component_id"))
-    final = written(joined.select("cls", "comp").join(names, "comp").select(F.col("cls").alias("cls_"), "component_id"))
+    final = written(joined.select("cls", "comp").join(names, "comp").select(F.col("cls").alias("cls_"), "comp", "component_id"))
     got = rows.select("id", "h", "n", "cls").join(final, (F.col("n") > 0) & (F.col("cls") == F.col("cls_")), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    got = got.select("id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    got = got.select("id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), "comp")
     return got.withColumn("kept", F.col("component_id").eqNullSafe(F.col("id")))
 
 
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, h, n_shingles, component_id, kept) per row; h is a hash of the text.
+
+    Two documents are linked if their sets of five-word shingles have a Jaccard similarity
+    of ``threshold`` or more; a component is named after its smallest id. Equal sets are one class from
+    the start, so copies of any number cost one row each. Classes meet in bands of equal
+    registers, where every pair that may be linked is settled on full sets unless other links already
+    connect it, so no link between components is lost that the bands show. Texts without words are
+    linked with nothing, not even each other. A null id is in the component of its copies, or without any,
+    null and kept. Rows that share id and text share the result.
+    """
+    return grouped(docs, threshold, id, text).drop("comp")
+
+
 def deduplicated(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, with its own columns."""
-    got = near_duplicates(docs, threshold=threshold, id=id, text=text)
-    gone = written(got.where(~F.col("kept")).select(F.col("id").alias("gone_id_"), F.col("h").alias("gone_h_")).distinct())
+    """The rows of ``docs`` that stay, with their own columns: one document of each component, with its smallest id.
+
+    Of rows that share this id the one whose text has the smallest hash stays, once if it is repeated; a component whose ids are all
+    null keeps one row likewise. Texts without words are in no component and all stay. Any other columns pass through,
+    whatever their names; an empty table stays empty; texts are read whole and aren't shuffled, but for rows that repeat both id and text.
+    """
+    got = written(grouped(docs, threshold, id, text))
+    mine = F.col("kept") & F.col("comp").isNotNull()
+    first = got.where(mine).groupBy("comp").agg(F.min("h").alias("h0"))
+    fate = got.join(first.withColumnRenamed("comp", "comp_"), mine & (F.col("comp") == F.col("comp_")), "left")
+    fate = written(fate.select("id", "h", (F.col("kept") & (F.col("comp").isNull() | (F.col("h") == F.col("h0")))).alias("stays"), F.col("comp").isNull().alias("bare")))
+    gone = fate.where(~F.col("stays")).select(F.col("id").alias("gone_id_"), F.col("h").alias("gone_h_")).distinct()
+    again = fate.where(F.col("stays") & ~F.col("bare")).groupBy("id", "h").count().where("count > 1")
+    again = written(again.select(F.col("id").alias("gone_id_"), F.col("h").alias("gone_h_")))
     h = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    return docs.join(gone, F.col(f"`{id}`").eqNullSafe(F.col("gone_id_")) & (h == F.col("gone_h_")), "left_anti")
+
+    def same(side):
+        return F.col(f"`{id}`").eqNullSafe(side["gone_id_"]) & (h == side["gone_h_"])
+
+    gone = written(gone)
+    left = docs.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return left
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    lower = [c.lower() for c in docs.columns]
+    key, told = (F.col(names[lower.index(c.lower())]) for c in (id, text))
+    repeated = left.join(again, same(again), "left_semi").toDF(*names)
+    once = repeated.groupBy(key.alias("id_"), F.xxhash64(told).alias("h_")).agg(F.first(F.struct(*names)).alias("r"))
+    return left.join(again, same(again), "left_anti").unionByName(once.select("r.*").toDF(*docs.columns))
