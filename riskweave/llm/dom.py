@@ -5,11 +5,12 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag ends before the next ``<`` outside quotes, or is none; so no part of a page is read more than a few times.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:\s|^)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,12 +42,15 @@ class Node:
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(block elements in page order, the root first; blocks of text as (element's number, text)).
 
-    Inline elements don't end a block of text; unseen elements, comments and markup have no text.
+    Inline elements don't end a block of text; unseen elements, comments and markup have no text. The time grows in line with the page,
+    however deep or broken its markup is: open elements are found by their kind, not by a search.
     """
     root = Node("html", [], None)
     root.begin = 0
     nodes, blocks = [root], []
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements, inline ones with their block's number
+    # open elements, inline ones with their block's number; an inline one that ended below others leaves a nameless place
+    stack: list[tuple[str, int]] = [("html", 0)]
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by kind
     buffer: list[tuple[str, bool]] = []
     links = hidden = 0
     raw_end: re.Pattern | None = None
@@ -70,10 +74,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal links, hidden
         flush()
         for tag, _ in stack[k:]:
+            if tag:
+                places[tag].pop()
             links -= tag == "a"
             hidden -= tag in UNSEEN
         del stack[k:]
 
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     at = 0
     size = len(page)
     while at < size:
@@ -93,11 +102,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = m.group(2).lower()
         if m.group(1):
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            k = nearest((tag,))
             if k:
                 if tag in INLINE:
                     links -= tag == "a"
-                    del stack[k]
+                    places[tag].pop()
+                    stack[k] = ("", stack[k][1])
+                    while not stack[-1][0]:
+                        stack.pop()
                 else:
                     close(k)
             elif tag == "p":
@@ -111,33 +123,31 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 flush()
             nodes[stack[-1][1]].tags += 1
             continue
-        if tag in ("html", "body") and any(s[0] == tag for s in stack[1:]) or tag == "html":
+        if tag == "html" or tag == "body" and places["body"]:
             continue
         if tag in INLINE:
             nodes[stack[-1][1]].tags += 1
+            places[tag].append(len(stack))
             stack.append((tag, stack[-1][1]))
             links += tag == "a"
             continue
         flush()
         if tag == "body":
-            k = next((i for i in range(1, len(stack)) if stack[i][0] == "head"), 0)
-            if k:
-                close(k)
-        k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
+            if places["head"]:
+                close(places["head"][0])
+        k = nearest(("p",))
         if k:
             close(k)
         if tag in ENDS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ENDS[tag]:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES and stack[i][0] not in ENDS[tag]:
-                    break
+            k = nearest(ENDS[tag])
+            if k > nearest(SCOPES - ENDS[tag]):
+                close(k)
         tokens = TOKEN.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m.group(3))).lower()) if m.group(3) else []
         parent = nodes[stack[-1][1]]
         node = Node(tag, tokens, parent)
         node.begin = len(blocks)
         parent.children.append(len(nodes))
+        places[tag].append(len(stack))
         stack.append((tag, len(nodes)))
         nodes.append(node)
         if tag in UNSEEN:
