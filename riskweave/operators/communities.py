@@ -39,10 +39,14 @@ def modularity(sym: DataFrame, part: DataFrame) -> float:
     return by.agg(F.sum(F.col("i") / total - F.pow(F.col("k") / total, 2))).first()[0]
 
 
-def gaining(sym: DataFrame, part: DataFrame, total: float) -> DataFrame:
+def degrees(sym: DataFrame) -> DataFrame:
+    """(u, k, n): weight and number of each node's links."""
+    return sym.groupBy("u").agg(F.sum("w").alias("k"), F.count(F.lit(1)).alias("n"))
+
+
+def gaining(sym: DataFrame, part: DataFrame, total: float, degree: DataFrame | None = None) -> DataFrame:
     """(u, k, c0, c1, gain): nodes that gain by moving to a neighbouring community, with the best one."""
-    degree = sym.groupBy("u").agg(F.sum("w").alias("k"))
-    own = part.join(degree, "u").select("u", F.col("c").alias("c0"), "k")
+    own = part.join(degrees(sym) if degree is None else degree, "u").select("u", F.col("c").alias("c0"), "k")
     tot = own.groupBy(F.col("c0").alias("c")).agg(F.sum("k").alias("tot"))
     near = part.select(F.col("u").alias("v"), "c")
     pull = sym.where(F.col("u") != F.col("v")).join(near, "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
@@ -201,13 +205,24 @@ def _groups(active: DataFrame, most: int, turn: int) -> DataFrame:
     return found.join(size, "g", "left").where((F.col("c") == F.col("g")) | drawn).select("c", "g")
 
 
-def _moved(sym: DataFrame, part: DataFrame, active: DataFrame, total: float, most: int, turn: int) -> DataFrame:
-    """``part`` after one pass of grouped moves."""
-    group = cut_lineage(_groups(active, most, turn))
-    a = active.join(group.select(F.col("c").alias("c0"), "g"), "c0").join(group.select(F.col("c").alias("c1"), F.col("g").alias("g1")), "c1")
-    a = cut_lineage(a.where(F.col("g") == F.col("g1")).select("g", "u", "k", F.col("c0").alias("c")))
-    degree = sym.groupBy("u").agg(F.sum("w").alias("k"))
-    volume = part.join(degree, "u").groupBy("c").agg(F.sum("k").alias("x")).join(group, "c")
+def _moved(sym: DataFrame, degree: DataFrame, part: DataFrame, active: DataFrame, total: float, most: int, turn: int) -> DataFrame:
+    """``part`` after one pass of grouped moves.
+
+    A group with up to ``most`` links moves all its nodes, so that a move's consequences are settled in the same pass; if all
+    communities concerned have no more links than that, they are one group. Of a larger group only the nodes that gain now move.
+    """
+    at = part.join(degree, "u")
+    volume = at.groupBy("c").agg(F.sum("k").alias("x"), F.sum("n").alias("n"))
+    wished = active.select(F.explode(F.array("c0", "c1")).alias("c")).distinct()
+    if (wished.join(volume, "c").agg(F.sum("n")).first()[0] or 0) <= most:
+        group = cut_lineage(wished.withColumn("g", F.lit("")))
+    else:
+        group = cut_lineage(_groups(active, most, turn))
+    volume = cut_lineage(volume.join(group, "c"))
+    whole = volume.groupBy("g").agg((F.sum("n") <= most).alias("whole"))
+    wish = active.join(group.select(F.col("c").alias("c1"), F.col("g").alias("g1")), "c1").select("u", "g1")
+    a = at.join(group, "c").join(whole, "g").join(wish, "u", "left").where(F.col("whole") | (F.col("g1") == F.col("g")))
+    a = cut_lineage(a.select("g", "u", "k", "c"))
     near = part.select(F.col("u").alias("v"), F.col("c").alias("cv"))
     link = sym.where(F.col("u") != F.col("v")).join(a.select("u", "g"), "u").join(near, "v")
     link = link.join(a.select(F.col("u").alias("v"), F.col("g").alias("gv")), "v", "left")
@@ -243,11 +258,12 @@ def _moved(sym: DataFrame, part: DataFrame, active: DataFrame, total: float, mos
 
 def local_moves(sym: DataFrame, part: DataFrame, total: float, most: int = MOST_LINKS, passes: int = 400) -> DataFrame:
     """``part(u, c)`` after passes of grouped moves until no node gains by one; more than ``passes`` raise."""
+    degree = cut_lineage(degrees(sym))
     for turn in range(passes):
-        active = cut_lineage(gaining(sym, part, total))
+        active = cut_lineage(gaining(sym, part, total, degree))
         if active.isEmpty():
             return part
-        part = _moved(sym, part, active, total, most, turn)
+        part = _moved(sym, degree, part, active, total, most, turn)
     raise RuntimeError(f"communities did not settle in {passes} passes")
 
 
