@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ...config import FIRED_EPS, N_RULES
 from ..ordered import ordered_scan
+from .facts import standard_facts
 from .registry import RuleBook
 
 # Context columns a caller's wallet table may supply; absent ones count as 0 / false.
@@ -99,7 +100,10 @@ def applicability(book: RuleBook, ctx: DataFrame, rule_id: int) -> Column:
 
 
 def evaluate(ctx: DataFrame, book: RuleBook | None = None) -> DataFrame:
-    """RUL-V, RUL-E, TOP2: vectors, fired ids, top rules and explanations per wallet."""
+    """RUL-V, RUL-E, TOP2: vectors, fired ids, top rules and explanations per wallet.
+
+    An explanation names the rule, the fact that made it fire and the confidence.
+    """
     book = book or RuleBook.standard()
     hits: dict[str, Column] = {}
     for i, rule in sorted(book.logic.items()):
@@ -127,9 +131,18 @@ def evaluate(ctx: DataFrame, book: RuleBook | None = None) -> DataFrame:
     )
     out = out.withColumn("_top", F.slice(F.array_sort("_f"), 1, 5))
     first = F.try_element_at("_top", F.lit(1))
-    text = F.transform(
-        "_f", lambda x: F.struct(x["id"].cast("string"), F.format_string("%s: confidence %.2f", x["name"], -x["neg"]))
-    )
+    facts = standard_facts()
+    told = [
+        F.when(
+            F.col(f"_t{i}") | (F.col(f"_c{i}") > FIRED_EPS),
+            F.struct(
+                F.lit(str(i)),
+                F.format_string("%s: %s (confidence %.2f)", F.lit(book.info[i].name), facts.get(i, F.lit("its condition holds")), F.round(F.col(f"_c{i}") + 1e-9, 2)),
+            ),
+        )
+        for i in known
+    ]
+    text = F.filter(F.array(*told), lambda x: x.isNotNull())
     return out.select(
         "wallet", "heuristic_vector", "applicability_vector",
         F.transform("_f", lambda x: x["id"]).alias("triggered_ids"),

@@ -89,41 +89,51 @@ def synchrony(tx: DataFrame, edges: DataFrame, partition: DataFrame, seconds: in
     return who.join(score, "wallet", "left")
 
 
-def tag_flags(tx: DataFrame, tags: DataFrame, scope: str = "wallet", at: Column | None = None) -> DataFrame:
+#: Tags that rules ask for by name; the other risky ones count together.
+NAMED_TAGS = ("sanctioned", "ransomware", "scam", "darknet")
+
+
+def _tags_at(sightings: DataFrame, tags: DataFrame, hot_rows: int | None) -> DataFrame:
+    """``sightings(address, time, ...)`` of tagged addresses with the number of tags of each kind that hold there and then.
+
+    Beginnings and ends of tags and the sightings are put in one order per address; running sums over the beginnings
+    and ends are the tags that hold. So a tag costs two rows however many transfers meet it, and a busy address is scanned in pieces.
+    """
+    kinds = [*NAMED_TAGS, "other", "exchange"]
+    kind = F.when(F.col("tag").isin(*NAMED_TAGS, "exchange"), F.col("tag")).otherwise("other")
+    sound = F.col("valid_from").isNull() | F.col("valid_to").isNull() | (F.col("valid_from") <= F.col("valid_to"))
+    t = tags.where(sound).select(F.col("wallet_address").alias("address"), kind.alias("kind"), "valid_from", "valid_to")
+    begin = t.select("address", "kind", F.col("valid_from").alias("time"), F.lit(0).alias("side"), F.lit(1).cast("long").alias("d"))
+    end = t.where(F.col("valid_to").isNotNull()).select("address", "kind", F.col("valid_to").alias("time"), F.lit(2).alias("side"), F.lit(-1).cast("long").alias("d"))
+    change = begin.unionByName(end).groupBy("address", "time", "side").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"d_{k}") for k in kinds])
+    seen = sightings.where(F.col("time").isNotNull()).join(change.select("address").distinct(), "address", "left_semi")
+    rows = seen.withColumns({"side": F.lit(1), **{f"d_{k}": F.lit(0).cast("long") for k in kinds}}).unionByName(change, allowMissingColumns=True)
+    run = ordered_scan(rows, ["address"], ["time", "side"], running={k: f"d_{k}" for k in kinds}, hot_rows=hot_rows)
+    return run.where(F.col("side") == 1).drop("side", *[f"d_{k}" for k in kinds])
+
+
+def tag_flags(tx: DataFrame, tags: DataFrame, scope: str = "wallet", at: Column | None = None, hot_rows: int | None = None) -> DataFrame:
     """JOI12: risky-tag flags per wallet.
 
     ``wallet`` scope looks at the tags of the wallet and its counterparties that are
-    valid at the transfer's time; ``global`` scope applies any tag to every wallet.
-    The tag table is joined without a forced broadcast, so its size decides the plan.
+    valid at the transfer's time (both ends included, a missing bound is open; a transfer without time meets no tag);
+    ``global`` scope applies any tag to every wallet.
     """
     t = F.lower("tag")
     risky = tags.select("wallet_address", t.alias("tag"), "valid_from", "valid_to").where(t.isin([*RISKY_TAGS, "exchange"]))
-    sides = tx.select("sender_wallet", "receiver_wallet", "timestamp")
+    ends = F.array(F.struct(F.col("sender_wallet").alias("address"), F.col("receiver_wallet").alias("party")), F.struct(F.col("receiver_wallet").alias("address"), F.col("sender_wallet").alias("party")))
     if scope == "global":
         have = risky.select("tag").distinct()
-        every = sides.select(F.explode(F.array("sender_wallet", "receiver_wallet")).alias("wallet")).distinct()
-        flags = {f"tag_{x}": have.where(F.col("tag") == x).exists() for x in ("sanctioned", "ransomware", "scam", "darknet")}
+        every = tx.select(F.explode(F.array("sender_wallet", "receiver_wallet")).alias("wallet")).distinct()
+        flags = {f"tag_{x}": have.where(F.col("tag") == x).exists() for x in NAMED_TAGS}
         any_risky = have.where(F.col("tag") != "exchange").exists()
         return every.select("wallet", any_risky.alias("tag_risky"), *[v.alias(k) for k, v in flags.items()])
-    seen = sides.select(
-        "timestamp",
-        F.explode(
-            F.array(
-                F.struct(F.col("sender_wallet").alias("wallet"), F.col("sender_wallet").alias("other")),
-                F.struct(F.col("sender_wallet").alias("wallet"), F.col("receiver_wallet").alias("other")),
-                F.struct(F.col("receiver_wallet").alias("wallet"), F.col("receiver_wallet").alias("other")),
-                F.struct(F.col("receiver_wallet").alias("wallet"), F.col("sender_wallet").alias("other")),
-            )
-        ).alias("p"),
-    ).select("timestamp", "p.wallet", "p.other")
-    when = F.col("timestamp") if at is None else at
-    hit = seen.join(risky, seen.other == risky.wallet_address).where(
-        (F.col("valid_from").isNull() | (when >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (when <= F.col("valid_to")))
-    )
-    return hit.groupBy("wallet").agg(
-        F.max(F.col("tag").isin(RISKY_TAGS)).alias("tag_risky"),
-        *[F.max(F.col("tag") == x).alias(f"tag_{x}") for x in ("sanctioned", "ransomware", "scam", "darknet")],
-        F.max(F.col("tag") == "exchange").alias("near_exchange"),
+    sides = tx.select((F.col("timestamp") if at is None else at).alias("time"), F.explode(ends).alias("e")).select("time", "e.address", "e.party")
+    met = _tags_at(sides, risky, hot_rows).where(reduce(Column.__or__, [F.col(k) > 0 for k in (*NAMED_TAGS, "other", "exchange")]))
+    both = met.select(F.explode(F.array("address", "party")).alias("wallet"), *NAMED_TAGS, "other", "exchange")
+    risk = reduce(Column.__or__, [F.col(k) > 0 for k in (*NAMED_TAGS, "other")])
+    return both.groupBy("wallet").agg(
+        F.max(risk).alias("tag_risky"), *[F.max(F.col(x) > 0).alias(f"tag_{x}") for x in NAMED_TAGS], F.max(F.col("exchange") > 0).alias("near_exchange")
     )
 
 

@@ -392,7 +392,27 @@ def rul_v(spark, d):
     return r.select("wallet", F.array_join("triggered_ids", ",").alias("ids"), F.col("heuristic_triggered_count").alias("fired"), total.alias("total"))
 
 
-@query("rul_e")
+_PASSED = "total_out / total_in"
+# fixed values: what each rule that fires on the transfers alone tells, as format and values
+TOLD = {
+    1: ("%d of %d amounts are below 10000", "n_below_10000", "tx_count"), 4: ("%d different payers", "in_degree"), 5: ("%d of %d amounts are round hundreds", "n_round_100", "tx_count"),
+    6: ("%.2f of an average amount is kept", "balance / avg_amount"), 17: ("%d payment cycles of up to four wallets", "c2 + c3 + c4"), 21: ("%d payers and %d payees", "in_degree", "out_degree"),
+    22: ("%d payers, %.2f of the inflow goes out", "in_degree", f"coalesce({_PASSED}, 0)"), 23: ("%.2f of the inflow goes out", _PASSED), 26: ("%d payment cycles of up to three wallets", "c2 + c3"),
+    35: ("%d of %d amounts are below 3000", "n_below_3000", "tx_count"), 91: ("%d of %d payments are smaller than the one before", "peel_drops", "peel_edges - 1"), 92: ("%d different payees", "out_degree"),
+    93: ("%d different payers", "in_degree"), 94: ("%d days old at a volume of %.2f", "floor(epoch((SELECT max(timestamp) FROM tx_a) - first_seen) / 86400)", "total_in + total_out"),
+    99: ("%d of %d amounts are below 10000", "n_below_10000", "tx_count"), 100: ("%d payers, 0.00 of them young", "in_degree"), 105: ("%d payment cycles of up to six wallets", "c2 + c3 + c4 + c5 + c6"),
+    183: ("%d payment cycles of up to five wallets, %.2f of the inflow goes out", "c2 + c3 + c4 + c5", _PASSED), 185: ("%.2f of the inflow goes out", _PASSED),
+}
+
+
+def _printed(text: str, *values: str) -> str:
+    kinds = [p[0] for p in text.split("%")[1:]]
+    put = ", ".join(f"CAST({v} AS BIGINT)" if k == "d" else f"round(CAST({v} AS DOUBLE) + 1e-9, 2)" for k, v in zip(kinds, values))
+    return f"printf('{text}', {put})"
+
+
+@query("rul_e", sql("SELECT wallet, CAST(id AS VARCHAR) AS rule_id, printf('%s: %s (confidence %.2f)', name, CASE id "
+                    + " ".join(f"WHEN {i} THEN {_printed(*t)}" for i, t in TOLD.items()) + " END, round(conf + 1e-9, 2)) AS explanation FROM rl_a JOIN pf_a USING (wallet) LEFT JOIN cy_a USING (wallet) LEFT JOIN pe_a USING (wallet)"))
 def rul_e(spark, d):
     """Explanations of fired rules, one row each."""
     return rules_per_wallet(spark, d).select("wallet", F.explode("heuristic_explanations").alias("rule_id", "explanation"))

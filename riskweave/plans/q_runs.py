@@ -8,7 +8,9 @@ from ..config import DEFAULTS, Settings, Thresholds
 from ..functions.risk import level_from_score
 from ..operators import clusters as cl
 from ..operators import drift, evaluate as ev, fusion, reports, typology as ty
+from ..operators import graph as g
 from ..operators.components import connected_components
+from ..operators.rules.catalogue import RULE_TABLE
 from ..operators.selection import high_risk_wallets, suspicious, touched_wallets
 from ..operators.tx_features import send_history
 from ..operators.training import time_split
@@ -16,9 +18,10 @@ from ..session import cut_lineage
 from ..sources.adapter import cell_transfers, transfers
 from .catalog import query
 from .q_joins import SC, scored
-from .q_rules import latest
+from .q_graph import RANK_BASE, RANK_STEPS
+from .q_rules import FROM_SUPPLIED, MULE, SUPPLIED, TAG_HITS, TAGGED, TAGS, latest, supplied, tag_table
 from .q_windows import CURVE, SCORED, scored_labels
-from .scoring import build_graph, cluster_tables, entity_fallback, score_transfers, wallet_rules
+from .scoring import build_graph, cluster_tables, entity_fallback, run_pipeline, score_transfers, wallet_rules
 from .sql import D, I, S, T, select, sql
 
 
@@ -47,6 +50,53 @@ def flagship(spark, d):
     )
 
 
+_NAMES = {row[0]: row[1] for row in RULE_TABLE}
+_RANKED = "SELECT wallet, r FROM rank_steps WHERE k = (SELECT min(k) FROM (SELECT k, sum(d) s FROM rank_steps WHERE k > 0 GROUP BY k) WHERE s < (SELECT count(*) FROM nd_a) * 1e-6)"
+# confidences of the rules that need tags, a caller's table or risky neighbours, over one row per wallet
+_MORE = {**FROM_SUPPLIED, **TAGGED, 144: "CASE WHEN taint > 0.5 THEN least(taint, 1) ELSE 0 END",
+         179: "CASE WHEN ransomware THEN greatest(0.8, least(taint, 1)) ELSE 0 END",
+         185: f"CASE WHEN {MULE} THEN least(least(total_out / total_in, 1) + CASE WHEN coalesce(risky, false) THEN 0.2 ELSE 0 END, 1) ELSE 0 END"}
+FULL = {
+    "tags": TAGS, "tag_hits": TAG_HITS, "sup": SUPPLIED, "rank_base": RANK_BASE, "rank_steps": RANK_STEPS,
+    "taints": f"""SELECT b.wallet, count(k.wallet) / count(*) AS share FROM nb_a b LEFT JOIN (SELECT wallet FROM ({_RANKED}) WHERE r > 1.5 / (SELECT count(*) FROM nd_a)) k ON k.wallet = b.nb GROUP BY 1""",
+    "wide": """SELECT p.*, s.* EXCLUDE (wallet), h.* EXCLUDE (wallet), st.relay_pattern_score, st.unique_counterparties,
+  coalesce(t.share, 0) * CASE WHEN coalesce(h.exchange, false) THEN 2 ELSE 1 END AS taint FROM pf_a p LEFT JOIN sup s USING (wallet)
+  LEFT JOIN tag_hits h USING (wallet) LEFT JOIN taints t USING (wallet) LEFT JOIN st_a st USING (wallet)""",
+    "every": "SELECT * FROM rl_a WHERE id <> 185 UNION ALL " + " UNION ALL ".join(
+        f"SELECT wallet, {i} AS id, '{_NAMES[i]}' AS name, c AS conf FROM (SELECT wallet, CAST(coalesce({e}, 0) AS DOUBLE) AS c FROM (SELECT * FROM wide p)) WHERE c > 0".replace("p.in_degree", "in_degree")
+        for i, e in _MORE.items()),
+    "per": """SELECT wallet, count(*) AS fired, max(conf) AS top_conf, avg(conf) AS mean_conf, string_agg(id, ',' ORDER BY id) AS ids,
+  arg_min(name, (-conf, id)) AS top_name FROM every GROUP BY 1""",
+    "full_s": """SELECT *, CASE WHEN meta_score >= 0.9 THEN 'high' WHEN meta_score >= 0.75 THEN 'medium' WHEN meta_score <= 0.3 THEN 'low' ELSE 'medium-low' END AS risk_level
+FROM (SELECT t.*, coalesce(r.fired, 0) AS fired, r.top_name, r.top_conf, coalesce(r.mean_conf, 0) AS mean_conf, coalesce(r.ids, '') AS ids,
+  least(greatest(CAST(0.125 AS DOUBLE) * coalesce(e.entity_score, 0) + CAST(0.175 AS DOUBLE) * coalesce(r.top_conf, 0), 0), 1) AS meta_score
+FROM tx_a t LEFT JOIN per r ON r.wallet = t.sender_wallet LEFT JOIN en_a e ON e.wallet = t.sender_wallet)""",
+}
+
+
+def full_run(spark, d, communities):
+    """The run with PageRank shares, tags, a caller's wallet table and communities."""
+    t = transfers(spark, d)
+    n = g.nodes_of(g.wallet_edges(t)).count()
+    settings = Settings(risky_pagerank=1.5 / n)  # in an even graph of this size nobody reaches a hundredth
+    return run_pipeline(t, settings, latest(t), communities=communities, enrichment=supplied(t), tags=tag_table(t))
+
+
+@query("run_full", select(S(transaction_id="transaction_id", risk_level="risk_level", coverage_tier="'tier1'", ids="ids", top_rule="top_name"), I(rules_fired="fired"),
+                          D(meta_score="meta_score", heuristic_mean="mean_conf", has_address_tags="1"), tail="FROM full_s", **FULL))
+def run_full(spark, d):
+    """Score rows of the whole run with components as communities."""
+    return full_run(spark, d, "components").scores.select(
+        "transaction_id", "risk_level", "coverage_tier", F.coalesce(F.array_join("triggered_ids", ","), F.lit("")).alias("ids"), F.col("heuristic_top_typology").alias("top_rule"),
+        F.coalesce("heuristic_triggered_count", F.lit(0)).alias("rules_fired"), "meta_score", "heuristic_mean", "has_address_tags")
+
+
+@query("run_louvain")
+def run_louvain(spark, d):
+    """Clusters of the whole run with communities by local moves."""
+    return full_run(spark, d, "louvain").clusters
+
+
 @query("len4", select(S(wallet="wallet"), D(entity_score="entity_score"), tail="FROM en_l"))
 def len4(spark, d):
     """Entity score without a classifier, components as communities."""

@@ -15,7 +15,8 @@ from ..streaming import jobs
 from .catalog import query
 from .q_clean import scratch
 from .q_windows import GAPS
-from .scoring import build_graph
+from . import model_store as store
+from .scoring import build_graph, run_pipeline
 from .sql import D, I, S, select, sql
 from .training import train_all, training_data
 
@@ -161,6 +162,24 @@ def trn7(spark, d):
     return train_all(t, Settings(), ROUNDS, as_of=t.agg(F.max("timestamp")).scalar()).calibrated
 
 
+@query("run_learned", sql("""SELECT count(*) AS n, count(*) FILTER (label IS NOT NULL) AS labelled, count(*) FILTER (label IS NOT NULL) AS same,
+true AS learned, true AS thresholds FROM tx_a"""))
+def run_learned(spark, d):
+    """Models trained, saved, loaded and used by a run: how many labelled transfers score as they did in training, under the chosen thresholds."""
+    t = transfers(spark, d)
+    as_of = F.lit(t.agg(F.max("timestamp")).first()[0])
+    path = scratch(spark, "models")
+    made = train_all(t, Settings(), ROUNDS, as_of=as_of)
+    store.save_models(spark, made.models, path)
+    run = run_pipeline(t, Settings(), as_of, mode="none", models=store.load_models(spark, path))
+    before = made.calibrated.select("transaction_id", F.col("meta_score").alias("was"))
+    limits = made.thresholds.select("decision_threshold").scalar()
+    return run.scores.join(before, "transaction_id", "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count("was").alias("labelled"), F.count_if(F.abs(F.col("was") - F.col("meta_score")) < 1e-9).alias("same"),
+        F.every(F.col("meta_provenance") == "learned").alias("learned"), F.every(F.col("decision_threshold") == limits).alias("thresholds"),
+    )
+
+
 @query("met3")
 def met3(spark, d):
     """Meta model and calibration on lens-like features."""

@@ -11,12 +11,13 @@ from ..config import DEFAULTS, LENS_SCORES, Settings
 from ..operators import clusters as cl
 from ..operators import graph as g
 from ..operators.betweenness import betweenness
-from ..operators.communities import louvain
+from ..operators.communities import leiden, louvain
 from ..operators.components import connected_components
 from ..operators.cycles import clustering, ego_cycles
 from ..operators.fusion import meta_stack, score_rows
 from ..operators.pagerank import pagerank
 from ..operators.rules.engine import evaluate, peel_edges, rule_aggregates, wallet_context
+from ..operators.rules.enrich import tag_flags
 from ..operators.rules.registry import RuleBook
 from ..operators.selection import suspicious, touched_wallets
 from ..operators.tx_features import transaction_features
@@ -115,10 +116,12 @@ def with_rule_aggregates(rules: DataFrame) -> DataFrame:
 def score_transfers(
     tx: DataFrame, rules: DataFrame, lens: DataFrame | None = None, entity: DataFrame | None = None,
     settings: Settings = DEFAULTS, has_tags: bool = False, has_links: bool = False, n_lenses: int = 0, vectors: bool = False,
+    learned: str | None = None,
 ) -> DataFrame:
     """Score rows per transfer: sender rules, lens scores (0 where no model is given), fusion and tier.
 
-    ``lens`` holds scores by transaction_id, ``entity`` holds entity_score by wallet. The 185-slot vectors stay
+    ``lens`` holds scores by transaction_id, ``entity`` holds entity_score by wallet; ``learned`` names a column of ``lens`` that
+    stands for the weighted score. The 185-slot vectors stay
     in the wallet-level rule table, since copying them to every transfer would multiply the output; only their
     aggregates are joined. ``vectors=True`` attaches them.
     """
@@ -132,7 +135,10 @@ def score_transfers(
         rows = rows.join(lens, "transaction_id", "left")
     missing = {c: F.lit(0.0) for c in LENS_SCORES if c not in rows.columns}
     present = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in LENS_SCORES if c in rows.columns}
-    return score_rows(meta_stack(rows.withColumns({**missing, **present}), has_tags, has_links, n_lenses), settings)
+    stack = meta_stack(rows.withColumns({**missing, **present}), has_tags, has_links, n_lenses)
+    if learned is None:
+        return score_rows(stack, settings)
+    return score_rows(stack, settings, F.col(learned)).drop(learned)
 
 
 def entity_fallback(graph: Graph, partition: DataFrame) -> DataFrame:
@@ -167,19 +173,39 @@ def cluster_tables(scored: DataFrame, flagged: DataFrame, graph: Graph, settings
 def run_pipeline(
     tx: DataFrame, settings: Settings = DEFAULTS, as_of: Column | None = None, mode: str = "linear",
     communities: str = "louvain", enrichment: DataFrame | None = None, book: RuleBook | None = None,
+    tags: DataFrame | None = None, links: DataFrame | None = None, models=None,
 ) -> Run:
-    """The whole no-model run over cleaned transfers."""
+    """The whole run over cleaned transfers.
+
+    ``tags`` (wallet_address, tag, valid_from, valid_to) feed the tag rules, ``links`` are records about owners; the coverage tier follows from
+    which of the two have rows. ``models`` (see ``model_store``) add lens scores, the learned meta score and its thresholds; without them the
+    weighted score is used. ``enrichment`` has further rule inputs by wallet.
+    """
+    if communities not in ("louvain", "leiden", "components"):
+        raise ValueError(f"unknown communities {communities}")
+    has_tags = tags is not None and not tags.isEmpty()
+    has_links = links is not None and not links.isEmpty()
+    if has_tags:
+        flags = tag_flags(tx, tags)
+        enrichment = flags if enrichment is None else enrichment.join(flags, "wallet", "full_outer")
+    if models is not None:
+        from .training import learned_run
+
+        return learned_run(tx, models, settings, as_of, mode, enrichment, book, has_tags, has_links)
     graph = build_graph(tx)
     glob = global_metrics(graph, mode)
     shares = g.risky_neighbour_shares(graph.neighbours, g.risky_nodes(glob, settings.risky_pagerank))
     rules = wallet_rules(tx, graph, shares, as_of, enrichment, book, settings)
-    if communities == "louvain":
-        part = louvain(graph.edges, graph.nodes)
-    else:
-        part = connected_components(graph.edges, graph.nodes).withColumnRenamed("component", "community")
-    scored = cut_lineage(score_transfers(tx, rules, None, entity_fallback(graph, part), settings))
-    flagged = scored.where(suspicious(settings))
-    return cluster_tables(scored, flagged, graph, settings)
+    part = partition(graph, communities)
+    scored = cut_lineage(score_transfers(tx, rules, None, entity_fallback(graph, part), settings, has_tags, has_links))
+    return cluster_tables(scored, scored.where(suspicious(settings)), graph, settings)
+
+
+def partition(graph: Graph, communities: str) -> DataFrame:
+    """(wallet, community) by the named method."""
+    if communities == "components":
+        return connected_components(graph.edges, graph.nodes).withColumnRenamed("component", "community")
+    return (louvain if communities == "louvain" else leiden)(graph.edges, graph.nodes)
 
 
 def feature_tables(tx: DataFrame, settings: Settings = DEFAULTS, mode: str = "linear") -> dict[str, DataFrame]:

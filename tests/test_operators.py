@@ -16,6 +16,7 @@ from riskweave.operators.communities import leiden, local_moves, louvain, modula
 from riskweave.operators.components import connected_components
 from riskweave.operators.ordered import exact_quantile, group_median, ordered_scan
 from riskweave.operators.pagerank import pagerank
+from riskweave.operators.rules.enrich import tag_flags
 from riskweave.operators.rules.registry import RuleBook, completeness
 from riskweave.operators.window24 import longest_hops, reconvergence
 from riskweave.sources.transfers import MissingColumns, check_columns
@@ -281,6 +282,34 @@ def test_moves_raise_when_they_do_not_settle(spark):
         local_moves(sym, alone, sym.agg(F.sum("w")).first()[0], passes=1)
 
 
+@pytest.mark.parametrize("hot", [10**6, 500])
+def test_tags_hold_between_their_bounds(spark, make_tx, hot):
+    """10,000 overlapping tags on one wallet, open bounds, touching bounds, a bound before its beginning."""
+    tx = make_tx([("hub", f"n{i % 40}", 5.0) for i in range(300)] + [("a", "a", 1.0), ("b", "tagged", 1.0), ("c", "late", 1.0), ("d", "never", 1.0)])
+    t0 = 1_704_067_200
+    at = {r.receiver_wallet: int(r.timestamp.timestamp()) for r in tx.collect() if r.receiver_wallet in ("a", "tagged", "late", "never")}
+    tags = [("hub", "Scam", t0 + 7 * i % 9000, t0 + 7 * i % 9000 + i % 50) for i in range(9_990)]
+    tags += [("a", "mixer", None, None), ("tagged", "darknet", at["tagged"], at["tagged"]), ("late", "sanctioned", at["late"] + 1, None), ("never", "ransomware", at["never"] + 1, at["never"] - 1)]
+    tags += [("never", "exchange", None, at["never"]), ("n3", "unknown", None, None), ("n5", "gambling", None, t0 + 60 * 50)]
+    table = spark.createDataFrame(tags, "wallet_address string, tag string, f long, t long").select(
+        "wallet_address", "tag", F.timestamp_seconds("f").alias("valid_from"), F.timestamp_seconds("t").alias("valid_to"))
+    want = defaultdict(set)
+    for r in tx.collect():
+        when = int(r.timestamp.timestamp())
+        for address, party in ((r.sender_wallet, r.receiver_wallet), (r.receiver_wallet, r.sender_wallet)):
+            if address not in ("hub", "a", "tagged", "late", "never", "n5"):
+                continue
+            for w, kind, f, t in tags:
+                if w == address and (f is None or when >= f) and (t is None or when <= t):
+                    want[address].add(kind.lower())
+                    want[party].add(kind.lower())
+    got = {r.wallet: r for r in tag_flags(tx, table, hot_rows=hot).collect()}
+    assert got.keys() == want.keys()
+    for w, kinds in want.items():
+        assert got[w].tag_risky == bool(kinds - {"exchange"}) and got[w].near_exchange == ("exchange" in kinds)
+        assert all(got[w][f"tag_{k}"] == (k in kinds) for k in ("sanctioned", "ransomware", "scam", "darknet"))
+
+
 @pytest.mark.parametrize(
     "pairs, want",
     [
