@@ -7,7 +7,7 @@ import os
 import sys
 import time
 
-HEADLINE = ["flagship", "txfeatures", "agg4", "cln4", "gra3", "gra5a", "gra6", "gra10", "rul_v", "clu2", "win9", "eva2"]
+HEADLINE = ["flagship", "txfeatures", "agg4", "cln4", "gra3", "gra5a", "gra6", "gra10", "gra15", "rul_v", "clu2", "win9", "eva2"]
 
 
 def main() -> None:
