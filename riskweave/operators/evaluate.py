@@ -11,14 +11,6 @@ from .fusion import precision_recall_points
 from .ordered import ordered_scan
 
 
-def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
-    y, p = F.col(label) == 1, F.col(predicted) == 1
-    return df.agg(
-        F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
-        F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"),
-    )
-
-
 def _ratio(a, b):
     return F.when(b != 0, a / b).otherwise(0.0)
 

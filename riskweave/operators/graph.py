@@ -27,13 +27,6 @@ def wallet_edges(tx: DataFrame, order: str = "ord") -> DataFrame:
     )
 
 
-def edge_rows(tx: DataFrame) -> DataFrame:
-    """One stored edge row per transfer."""
-    return tx.select(
-        F.col("sender_wallet").alias("src"), F.col("receiver_wallet").alias("dst"), "transaction_id", "amount", "timestamp"
-    )
-
-
 def nodes_of(edges: DataFrame) -> DataFrame:
     """AGG2: endpoints of the edges."""
     return edges.select(F.col("src").alias("wallet")).union(edges.select("dst")).distinct()
@@ -171,6 +164,12 @@ def risky_nodes(pagerank: DataFrame, threshold: float = DEFAULTS.risky_pagerank)
     return F.broadcast(pagerank.where(F.col("pagerank") > threshold).select(F.col("wallet").alias("risky")))
 
 
+def risky_direct_share(nb: DataFrame, risky: DataFrame) -> DataFrame:
+    """AGG9: share of risky wallets among the direct neighbours."""
+    known = nb.join(risky, nb.nb == risky.risky, "left")
+    return known.groupBy("wallet").agg((F.count("risky") / F.count(F.lit(1))).alias("suspicious_neighbor_ratio_1hop"))
+
+
 def risky_neighbour_shares(nb: DataFrame, risky: DataFrame) -> DataFrame:
     """AGG9 + AGG10: share of risky wallets among 1-hop and 2-hop neighbours.
 

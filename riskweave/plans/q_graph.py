@@ -106,7 +106,7 @@ def volume_risky(spark, d):
 @query("agg9", select(S(wallet="n.wallet"), D(ratio="count(r.risky) / count(*)"), tail=f"FROM nb_a n LEFT JOIN {RISKY} r ON r.risky = n.nb GROUP BY 1"))
 def agg9(spark, d):
     gr, risky = volume_risky(spark, d)
-    return g.risky_neighbour_shares(gr.neighbours, risky).select("wallet", F.col("suspicious_neighbor_ratio_1hop").alias("ratio"))
+    return g.risky_direct_share(gr.neighbours, risky).select("wallet", F.col("suspicious_neighbor_ratio_1hop").alias("ratio"))
 
 
 @query("agg10", select(S(wallet="p.wallet"), D(ratio="count(r.risky) / count(*)"), tail=f"""
@@ -266,12 +266,6 @@ def gra9(spark, d):
     return velocity(trailing_hours(transfers(spark, d)))
 
 
-@query("gra10")
-def gra10(spark, d):
-    """All eight window metrics per active wallet."""
-    return window_features(transfers(spark, d))
-
-
 def busiest(edges):
     """The wallet with the largest number of edges, ties to the smallest name."""
     d = edges.select(F.explode(F.array("src", "dst")).alias("wallet")).groupBy("wallet").agg(F.count(F.lit(1)).alias("n"))

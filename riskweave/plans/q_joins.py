@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filing, graph as g, paging, training
-from ..operators.cleaning import trailing_hours
 from ..operators.selection import high_risk_wallets, touched_wallets
 from ..operators.tx_features import transaction_features
-from ..operators.window24 import velocity
+from ..operators.window24 import window_features
+from ..session import cut_lineage
 from ..sources import transfers as src
 from ..sources.adapter import cell_transfers, large_transfers, table, transfers
 from .catalog import query
@@ -32,28 +32,29 @@ def scores(spark, d):
 SC = f"(SELECT *, {SCORE} AS meta_score, {LEVEL.format(s=SCORE)} AS risk_level FROM tx_l)"
 
 
-@query("joi1", select(S(transaction_id="transaction_id"), I(sender_graph_in_degree="coalesce(s.in_degree, 0)", receiver_graph_out_degree="coalesce(r.out_degree, 0)", in_degree="coalesce(s.in_degree, 0)"),
-                      D(sender_graph_balance_ratio="coalesce(s.balance_ratio, 0)", receiver_graph_relay_pattern_score="coalesce(r.relay_pattern_score, 0)", fan_in_ratio="coalesce(s.fan_in_ratio, 0)"),
-                      tail="FROM tx_a LEFT JOIN st_a s ON s.wallet = sender_wallet LEFT JOIN st_a r ON r.wallet = receiver_wallet"))
-def joi1(spark, d):
-    """Node features on both ends of every transfer."""
+VELOCITY = "SELECT wallet, (sum(sent) + sum(received)) / (epoch(max(timestamp) - min(timestamp)) + 1.0) AS v FROM ro_w GROUP BY 1"
+ENTROPY = "SELECT src AS wallet, sum(-p * ln(p + 1e-12)) AS h FROM (SELECT src, amount / sum(amount) OVER (PARTITION BY src) AS p FROM ed_w WHERE amount > 0) GROUP BY 1"
+
+
+def combined(spark, d):
+    """Node and window features on both ends of every transfer."""
     t = transfers(spark, d)
-    from ..operators.window24 import WINDOW_METRICS
+    return combined_features(t, node_features(build_graph(t), "none"), cut_lineage(window_features(t)))
 
-    empty = t.select(F.col("sender_wallet").alias("wallet"), *[F.lit(0.0).alias(c) for c in WINDOW_METRICS]).where(F.lit(False))
-    c = combined_features(t, node_features(build_graph(t), "none"), empty)
-    return c.select("transaction_id", "sender_graph_in_degree", "receiver_graph_out_degree", "in_degree", "sender_graph_balance_ratio", "receiver_graph_relay_pattern_score", "fan_in_ratio")
 
+@query("joi1", select(S(transaction_id="transaction_id"), I(sender_graph_in_degree="coalesce(s.in_degree, 0)", receiver_graph_out_degree="coalesce(r.out_degree, 0)", in_degree="coalesce(s.in_degree, 0)"),
+                      D(sender_graph_balance_ratio="coalesce(s.balance_ratio, 0)", receiver_graph_relay_pattern_score="coalesce(r.relay_pattern_score, 0)", fan_in_ratio="coalesce(s.fan_in_ratio, 0)", sender_sub_velocity_score="coalesce(v.v, 0)"),
+                      tail="FROM tx_a LEFT JOIN st_a s ON s.wallet = sender_wallet LEFT JOIN st_a r ON r.wallet = receiver_wallet LEFT JOIN vel v ON v.wallet = sender_wallet", vel=VELOCITY))
+def joi1(spark, d):
+    """Node features on both ends, beside a window feature."""
+    return combined(spark, d).select("transaction_id", "sender_graph_in_degree", "receiver_graph_out_degree", "in_degree", "sender_graph_balance_ratio", "receiver_graph_relay_pattern_score", "fan_in_ratio", "sender_sub_velocity_score")
 
-@query("joi2", select(S(transaction_id="transaction_id"), D(sender_sub_velocity_score="coalesce(s.v, 0)", receiver_sub_velocity_score="coalesce(r.v, 0)"), tail="""FROM tx_a
-LEFT JOIN vel s ON s.wallet = sender_wallet LEFT JOIN vel r ON r.wallet = receiver_wallet""", vel="SELECT wallet, (sum(sent) + sum(received)) / (epoch(max(timestamp) - min(timestamp)) + 1.0) AS v FROM ro_w GROUP BY 1"))
+
+@query("joi2", select(S(transaction_id="transaction_id"), D(sender_sub_velocity_score="coalesce(s.v, 0)", receiver_sub_velocity_score="coalesce(r.v, 0)", sender_sub_fund_splitting_entropy="coalesce(a.h, 0)", receiver_sub_fund_splitting_entropy="coalesce(b.h, 0)"), tail="""FROM tx_a
+LEFT JOIN vel s ON s.wallet = sender_wallet LEFT JOIN vel r ON r.wallet = receiver_wallet LEFT JOIN ent a ON a.wallet = sender_wallet LEFT JOIN ent b ON b.wallet = receiver_wallet""", vel=VELOCITY, ent=ENTROPY))
 def joi2(spark, d):
     """Window features on both ends; wallets outside the window get 0."""
-    t = transfers(spark, d)
-    v = velocity(trailing_hours(t))
-    s = v.toDF("sender_wallet", "sender_sub_velocity_score")
-    r = v.toDF("receiver_wallet", "receiver_sub_velocity_score")
-    return t.join(s, "sender_wallet", "left").join(r, "receiver_wallet", "left").na.fill(0.0).select("transaction_id", "sender_sub_velocity_score", "receiver_sub_velocity_score")
+    return combined(spark, d).select("transaction_id", *[f"{side}_sub_{c}" for c in ("velocity_score", "fund_splitting_entropy") for side in ("sender", "receiver")])
 
 
 @query("features_all")

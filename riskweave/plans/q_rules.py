@@ -66,7 +66,7 @@ def h144(spark, d):
     t = transfers(spark, d)
     gr = build_graph(t)
     risky = gr.metrics.where(F.col("total_volume") > 100000).select(F.col("wallet").alias("risky"))
-    shares = g.risky_neighbour_shares(gr.neighbours, risky).select("wallet", "suspicious_neighbor_ratio_1hop")
+    shares = g.risky_direct_share(gr.neighbours, risky)
     return confidences(base(spark, d, shares=shares, t=t), [144]).select("wallet", F.col("c144").alias("confidence"))
 
 
@@ -78,7 +78,7 @@ def h144_rank(spark, d):
     """Taint rule with the PageRank threshold."""
     t = transfers(spark, d)
     gr = build_graph(t)
-    shares = g.risky_neighbour_shares(gr.neighbours, g.risky_nodes(pagerank(gr.edges, gr.nodes))).select("wallet", "suspicious_neighbor_ratio_1hop")
+    shares = g.risky_direct_share(gr.neighbours, g.risky_nodes(pagerank(gr.edges, gr.nodes)))
     return confidences(base(spark, d, shares=shares, t=t), [144]).select("wallet", F.col("c144").alias("confidence"))
 
 

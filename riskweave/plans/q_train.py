@@ -14,9 +14,10 @@ from ..sources.adapter import transfers
 from ..streaming import jobs
 from .catalog import query
 from .q_clean import scratch
-from .q_windows import GAPS
+from .q_graph import COEFFICIENT, RANK_BASE, RANK_PICK, RANK_STEPS
+from .q_windows import BURSTY
 from . import model_store as store
-from .scoring import build_graph, run_pipeline
+from .scoring import build_graph, node_features, run_pipeline
 from .sql import D, I, S, select, sql
 from .training import train_all, training_data
 
@@ -73,27 +74,32 @@ def trn6(spark, d):
     return tr.meta_table(t, ["transaction_id"]).select("transaction_id", "behavioral_score", "heuristic_mean", "n_lenses_available", "graph_score")
 
 
-@query("len5", select(S(wallet="wallet"), I(n="least(count(*), 50)"), D(total="sum(CASE WHEN r <= 50 THEN amount + coalesce(gap, 0) / 1e6 + is_sender ELSE 0 END)", last_amount="arg_min(amount, r)"), tail=f"""
+@query("len5", select(S(wallet="wallet"), I(n="least(count(*), 50)"), D(total="round(sum(CASE WHEN r <= 50 THEN amount + coalesce(gap, 0) / 1e6 + is_sender + burst ELSE 0 END), 2)", last_amount="arg_min(amount, r)"), tail=f"""
 FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY timestamp DESC, ord DESC) AS r FROM (
-  SELECT sender_wallet AS wallet, timestamp, ord, amount, gap, 1 AS is_sender FROM {GAPS}
-  UNION ALL SELECT receiver_wallet, timestamp, ord, amount, gap, 0 FROM {GAPS} WHERE sender_wallet <> receiver_wallet)) GROUP BY 1"""))
+  SELECT sender_wallet AS wallet, timestamp, ord, amount, gap, burst, 1 AS is_sender FROM {BURSTY}
+  UNION ALL SELECT receiver_wallet, timestamp, ord, amount, gap, burst, 0 FROM {BURSTY} WHERE sender_wallet <> receiver_wallet)) GROUP BY 1"""))
 def len5(spark, d):
     """Padded sequences: length, sum and last amount of every wallet's vector."""
-    t = send_history(transfers(spark, d)).withColumn("burstiness_score", F.lit(0.0))
-    s = ln.sequences(t, 50)
+    from ..operators.tx_features import transaction_features
+
+    s = ln.sequences(transaction_features(transfers(spark, d)), 50)
     n = F.size(F.filter(F.sequence(F.lit(0), F.lit(49)), lambda i: F.aggregate(F.slice("sequence", i * 4 + 1, 3), F.lit(0.0), lambda a, x: a + F.abs(x)) != 0))
     total = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x)
-    return s.select("wallet", n.alias("n"), total.alias("total"), F.col("sequence")[196].alias("last_amount"))
+    return s.select("wallet", n.alias("n"), F.round(total, 2).alias("total"), F.col("sequence")[196].alias("last_amount"))
 
 
-PROP = """SELECT n.wallet, avg({c}) AS {c} FROM (SELECT wallet, nb FROM nb_a UNION SELECT wallet, wallet FROM nd_a) n JOIN {t} m ON m.wallet = n.nb GROUP BY 1"""
+NODE = f"(SELECT m.wallet, in_degree, out_degree, weighted_in, weighted_out, 0 AS betweenness, pagerank, c AS clustering_coefficient FROM nm_a m JOIN (SELECT {RANK_PICK.replace('round(r, 6) + 0.0', 'r')}) USING (wallet) JOIN {COEFFICIENT.format(s='a')} USING (wallet))"
+PROP = "SELECT n.wallet, " + ", ".join(f"avg({c}) AS {c}" for c in ln.NODE_FEATURES) + " FROM (SELECT wallet, nb FROM nb_a UNION SELECT wallet, wallet FROM nd_a) n JOIN {t} m ON m.wallet = n.nb GROUP BY 1"
 
 
-@query("len3", select(S(wallet="wallet"), D(in_degree="in_degree"), tail="FROM prop_two", prop_one=PROP.format(c="in_degree", t="nm_a"), prop_two=PROP.format(c="in_degree", t="prop_one")))
+@query("len3", select(S(wallet="wallet"), D(**{c: c for c in ln.NODE_FEATURES}, norm=f"sqrt({' + '.join(f'pow(ln(1 + {c}), 2)' for c in ln.NODE_FEATURES)})"), tail="FROM prop_two",
+                      rank_base=RANK_BASE, rank_steps=RANK_STEPS, prop_one=PROP.format(t=NODE), prop_two=PROP.format(t="prop_one")))
 def len3(spark, d):
-    """Two rounds of neighbour averaging."""
+    """Two rounds of neighbour averaging of the seven node features, and the length of the vectors made of them."""
     gr = build_graph(transfers(spark, d))
-    return ln.propagated_features(gr.edges, gr.metrics, ["in_degree"])
+    spread = cut_lineage(ln.propagated_features(gr.edges, node_features(gr, "linear"), ln.NODE_FEATURES))
+    v = ln.node_vectors(spread, ln.NODE_FEATURES).select("wallet", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+    return spread.join(v, "wallet")
 
 
 @query("len1")
@@ -140,11 +146,10 @@ def _features(spark, d):
 
 @query("len7")
 def len7(spark, d):
-    """Logistic baseline on node metrics."""
-    gr = build_graph(transfers(spark, d))
-    names = ["in_degree", "out_degree", "weighted_in", "weighted_out"]
-    m = ln.fit_node_lens(gr.metrics, tr.wallet_labels(transfers(spark, d)), names)
-    return ln.score_nodes(m, gr.metrics)
+    """Logistic baseline on the seven node metrics."""
+    t = transfers(spark, d)
+    nodes = cut_lineage(node_features(build_graph(t), "linear"))
+    return ln.score_nodes(ln.fit_node_lens(nodes, tr.wallet_labels(t), ln.NODE_FEATURES), nodes)
 
 
 @query("trn1")

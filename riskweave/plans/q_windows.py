@@ -12,9 +12,10 @@ from ..operators.graph import wallet_edges
 from ..operators.lenses import sequence_rows
 from ..operators.rules.engine import peel_edges
 from ..operators.typology import most_common
-from ..operators.window24 import peel_chain, synchronised_score, synchronised_sends
+from ..operators.window24 import peel_chain, synchronised_score, synchronised_sends, window_features
 from ..sources.adapter import table, transfers
-from .catalog import query
+from .catalog import ORACLES, query
+from .q_graph import cycle_walk, reconvergence_sql
 from .sql import D, I, S, T, select, sql
 
 GAPS = """(SELECT *, epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY sender_wallet ORDER BY timestamp, ord) AS gap FROM tx_a)"""
@@ -102,18 +103,39 @@ def joi7(spark, d):
     return synchronised_sends(transfers(spark, d)).select("transaction_id", "synchronised")
 
 
-@query("win9", select(S(wallet="wallet"), I(n="count(*)", sent="sum(is_sender)"), D(amount="sum(amount)", gap="sum(gap) / 1e6"), tail=f"""
+BURSTY = f"""(SELECT *, CASE WHEN count(*) OVER (PARTITION BY sender_wallet) >= 3 THEN stddev_pop(gap / 1e6) OVER (PARTITION BY sender_wallet) ELSE 0 END AS burst FROM {GAPS})"""
+
+
+@query("win9", select(S(wallet="wallet"), I(n="count(*)", sent="sum(is_sender)"), D(amount="sum(amount)", gap="sum(gap) / 1e6", burst="round(sum(burst), 2)"), tail=f"""
 FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY timestamp DESC, ord DESC) AS r FROM (
-  SELECT sender_wallet AS wallet, timestamp, ord, amount, coalesce(gap, 0) AS gap, 1 AS is_sender FROM {GAPS}
-  UNION ALL SELECT receiver_wallet, timestamp, ord, amount, coalesce(gap, 0), 0 FROM {GAPS} WHERE sender_wallet <> receiver_wallet)) WHERE r <= 50 GROUP BY 1"""))
+  SELECT sender_wallet AS wallet, timestamp, ord, amount, coalesce(gap, 0) AS gap, burst, 1 AS is_sender FROM {BURSTY}
+  UNION ALL SELECT receiver_wallet, timestamp, ord, amount, coalesce(gap, 0), burst, 0 FROM {BURSTY} WHERE sender_wallet <> receiver_wallet)) WHERE r <= 50 GROUP BY 1"""))
 def win9(spark, d):
     """The last fifty transfers per wallet, summed up."""
-    t = tf.send_history(transfers(spark, d)).withColumn("burstiness_score", F.lit(0.0))
-    return sequence_rows(t, 50).groupBy("wallet").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("is_sender").cast("bigint").alias("sent"), F.sum("amount").alias("amount"), F.sum("time_since_prev_out").alias("gap")
+    return sequence_rows(tf.transaction_features(transfers(spark, d), Settings()), 50).groupBy("wallet").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("is_sender").cast("bigint").alias("sent"), F.sum("amount").alias("amount"), F.sum("time_since_prev_out").alias("gap"),
+        F.round(F.sum("burstiness_score"), 2).alias("burst"),
     )
 
 
+WINDOW_PARTS = {
+    "hop_count_in_window": "gra7", "fragmentation_score": "gra8", "fund_splitting_entropy": "gra8", "peel_chain_score": "win7",
+    "velocity_score": "gra9", "synchronized_transfer_score": "win8",
+}
+_JOINED = {**{q: ORACLES[q] for q in sorted(set(WINDOW_PARTS.values()) & set(ORACLES))}, "win7": WIN7, "reconv": reconvergence_sql("w"),
+           "circ": sql("SELECT wallet, count(*) AS circularity_score FROM (SELECT unnest(path) AS wallet FROM walk WHERE closed) GROUP BY 1", walk=cycle_walk("w"))}
+GRA10 = ("SELECT a.wallet, " + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in [*WINDOW_PARTS, "reconvergence_score", "circularity_score"])
+         + " FROM (" + sql("SELECT sender_wallet AS wallet FROM tx_w UNION SELECT receiver_wallet FROM tx_w") + ") a "
+         + " ".join(f"LEFT JOIN ({statement}) {name} USING (wallet)" for name, statement in _JOINED.items()))
+
+
+@query("gra10", GRA10)
+def gra10(spark, d):
+    """All eight window metrics per active wallet."""
+    f = window_features(transfers(spark, d))
+    return f.select("wallet", *[F.col(c).cast("double").alias(c) for c in f.columns if c != "wallet"])
+
+
 @query("win10", sql("SELECT wallet, peel_edges, peel_drops FROM pe_a"))
 def win10(spark, d):
     return peel_edges(wallet_edges(transfers(spark, d)))

@@ -194,7 +194,7 @@ def run_pipeline(
         return learned_run(tx, models, settings, as_of, mode, enrichment, book, has_tags, has_links)
     graph = build_graph(tx)
     glob = global_metrics(graph, mode)
-    shares = g.risky_neighbour_shares(graph.neighbours, g.risky_nodes(glob, settings.risky_pagerank))
+    shares = g.risky_direct_share(graph.neighbours, g.risky_nodes(glob, settings.risky_pagerank))
     rules = wallet_rules(tx, graph, shares, as_of, enrichment, book, settings)
     part = partition(graph, communities)
     scored = cut_lineage(score_transfers(tx, rules, None, entity_fallback(graph, part), settings, has_tags, has_links))
