@@ -112,7 +112,11 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no window of any item occurs, with their own columns."""
+    """The rows of ``docs`` in which no window of any item occurs, with their own columns.
+
+    Null and empty texts hold no window and stay; rows that share id and text share their fate; an empty table stays empty; very
+    long texts are searched whole; columns of any name pass through.
+    """
     id, text = options.get("id", "doc_id"), options.get("text", "text")
     hits, _ = occurrences(docs, items, **options)
     bad = written(hits.select(F.col("id").alias("bad_id_"), F.col("h").alias("bad_h_")).distinct())

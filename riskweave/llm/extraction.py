@@ -111,7 +111,8 @@ def extract(pages: DataFrame, trees: Trees | Density, *, id: str = "page_id", ht
     Every element of the whole page is scored and the tree decoded so that choices agree along
     each path. Character references are decoded and white space inside a block becomes one
     space. A null or empty page, or one without a kept element, has an empty text; repeated pages are
-    extracted as often as they come. No shuffle; a task holds one small batch of pages.
+    extracted as often as they come; an empty table gives an empty result; very long pages are parsed whole, in time in line
+    with their size; other columns play no part, whatever their names. No shuffle; a task holds one small batch of pages.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trees)
     rows = inner_names(pages, {"id": id, "url": url, "h": html})

@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id: str = "doc_i
     registers, where every pair that may be linked is settled on full sets unless other links already
     connect it, so no link between components is lost that the bands show. Texts without words are
     linked with nothing, not even each other. A null id is in the component of its copies, or without any,
-    null and kept. Rows that share id and text share the result.
+    null and kept. Rows that share id and text share the result. An empty table gives an empty result; very long texts are
+    read whole; other columns play no part, whatever their names.
     """
     return grouped(docs, threshold, id, text).drop("comp")
 

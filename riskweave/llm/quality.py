@@ -133,6 +133,10 @@ def score(docs: DataFrame, weights: np.ndarray, *, host: str = "source", path: s
 
 
 def good(docs: DataFrame, weights: np.ndarray, *, threshold: float = 0.5, **cols) -> DataFrame:
-    """The rows of ``docs`` whose posterior reaches the threshold, with their own columns."""
+    """The rows of ``docs`` whose posterior reaches the threshold, with their own columns.
+
+    Null and empty texts are judged by their site and the prior; repeated rows share their fate; an empty table stays
+    empty; very long texts are read whole; columns of any name pass through.
+    """
     return score(docs, weights, **cols).where(F.col("posterior") >= threshold).select("row.*")
 

@@ -71,7 +71,8 @@ def count_tokens(docs: DataFrame, counter: Callable[[], PieceCounter], *, limit:
     Each block of rows is split into pre-tokens and reduced to its distinct ones; their
     pieces are counted once, joined to the occurrences by number, and summed per
     document. Nothing is shuffled; a task holds 2 MB of text or one text at a time. Null
-    and empty texts have no tokens; repeated rows are counted as often as they come.
+    and empty texts have no tokens; repeated rows are counted as often as they come; an empty table gives an
+    empty result; other columns play no part, whatever their names.
     """
     rows = inner_names(docs, {"id": id, "t": text})
 

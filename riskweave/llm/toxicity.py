@@ -151,7 +151,9 @@ def toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7, i
     The ratio of the likelihoods is normalised by length over the text and over windows of
     eight words, so a short insult in a long text counts; a logistic function of these makes
     it a score from 0 to 1. Only the text plays a part. Null and empty texts are scored as texts
-    that favour neither model. No shuffle; the model is bounded by the training sample.
+    that favour neither model; repeated rows get equal scores, each its own row; an empty table gives an empty
+    result; very long texts are scored whole, in slices of 2 MB or one text; other columns play no part, whatever their
+    names. No shuffle; the model is bounded by the training sample.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = inner_names(docs, {"id": id, "t": text})
