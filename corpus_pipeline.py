@@ -20,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): the smallest id."""
+    """One document of each group of near duplicates (five words, similarity 0.8): the smallest id, once if its row is repeated."""
     prepare(spark)
     return neardup.deduplicated(docs)
 
