@@ -99,12 +99,12 @@ def test_spelling_sums_to_one():
         assert np.isclose(p.sum(), 1) and p[ord("e")] > 0.3
 
 
-def test_packing_of_occurrences_round_trips():
+def test_parcels_round_trip():
     r = np.random.default_rng(5)
-    posts = [np.sort(r.integers(0, 65_536, n)) for n in (1, 5, 300)] + [np.array([0]), np.array([65_535, 65_535]), np.array([127, 128, 16_384])]
-    at, data = lm.packed(np.concatenate(posts), np.array([len(p) for p in posts]))
-    doc, times = lm.unpacked(data, at)
-    assert times.tolist() == [len(p) for p in posts] and doc.tolist() == np.concatenate(posts).tolist()
+    h = np.sort(r.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    z, c = r.integers(0, 9, 700).astype(np.uint16), r.integers(0, 1 << 40, 700)
+    back = lm.opened(lm.pressed(lm.steps(h), z, c, np.zeros(0, np.float32)), np.uint64, np.uint16, np.int64, np.float32)
+    assert (np.cumsum(back[0], dtype=np.uint64) == h).all() and (back[1] == z).all() and (back[2] == c).all() and not len(back[3])
 
 
 def brute_base(docs, folds=5):
@@ -177,3 +177,31 @@ def test_every_language_has_its_own_restaurant(spark):
     got = {r.id: r.score for r in lm.scored(docs, F.col("id") < 1000).collect()}
     last = [got[1000 + i] for i in range(len(langs))]
     assert max(last) - min(last) < 6, last
+
+
+def test_scores_do_not_depend_on_the_cut_into_blocks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").coalesce(1)
+    train = ~held_out(F.col("id"), 5)
+    whole = {r.id: r for r in lm.scored(docs, train).collect()}
+    monkeypatch.setattr(lm, "BLOCK", 60_000)
+    cut = {r.id: r for r in lm.scored(docs.repartition(2, "source"), train).collect()}
+    assert whole.keys() == cut.keys()
+    for i, a in whole.items():
+        assert (a.n_tokens, a.n_known, a.train_tokens) == (cut[i].n_tokens, cut[i].n_known, cut[i].train_tokens)
+        assert math.isclose(a.score, cut[i].score, rel_tol=1e-9) and math.isclose(a.base_score, cut[i].base_score, rel_tol=1e-9)
+    monkeypatch.setattr(lm, "RANGE", 20_000)
+    many = {r.id: r for r in lm.scored(docs, train).collect()}
+    assert all(math.isclose(a.base_score, many[i].base_score, rel_tol=1e-9) for i, a in whole.items())
+    assert abs(sum(a.score - many[i].score for i, a in whole.items())) < 0.01 * abs(sum(a.score for a in whole.values()))
+
+
+def test_keyed_seats_follow_their_distribution():
+    d, a = 0.6, 1.5
+    s = pitman_yor.log_stirling(d)
+    key = texts.mix(np.arange(40_000, dtype=np.uint64))
+    t = pitman_yor.keyed_tables(np.full(40_000, 3), np.full(40_000, a), d, s, key)
+    w = np.exp(s[3, 1:4]) * a ** np.arange(1, 4)
+    assert np.allclose(np.bincount(t, minlength=4)[1:] / 40_000, w / w.sum(), atol=0.01)
+    c = np.array([0, 1, 10_000] * 2)
+    again = pitman_yor.keyed_tables(c, np.full(6, a), d, s, np.repeat(key[:1], 6))
+    assert again[:2].tolist() == [0, 1] and 1 < again[2] < 10_000 and again[:3].tolist() == again[3:].tolist()
